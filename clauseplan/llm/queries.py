@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality_rules, secret_ledger, telephony
+from . import mixing, pieces, quality_rules, secret_ledger, simhash, telephony
 
 #: The folder of the public vocabulary files; on a cluster the same path on every driver.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,6 +24,14 @@ def piece_model(folder: str = "") -> bytes:
     return Path(folder or TOKENIZERS, PIECE_MODEL).read_bytes()
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(_documents(spark, sf_dir))
+
+
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.carried(_documents(spark, sf_dir))
 
@@ -50,6 +58,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
     "op4_telephony": op4_telephony,
     "op7_secret_ledger": op7_secret_ledger,
     "op9_quality_rules": op9_quality_rules,
@@ -57,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
     "op9_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
