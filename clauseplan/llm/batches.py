@@ -97,6 +97,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Byte tables: A-Z to a-z; and, beside that, a blank for all ASCII that is no letter or digit.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+LETTERS = np.array([c if c > 127 or chr(c).isalnum() else 32 for c in LOWER.tolist()], np.uint8)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -110,11 +114,10 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 class Words:
     """The words of a chunk: their starts and ends in the joined bytes, the row of each, and where rows begin."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        """``table``: what each byte counts as."""
         data, self.offsets = joined_bytes(column)
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        self.data = data
+        self.data = data = data if table is None else table[data]
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True

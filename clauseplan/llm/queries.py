@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, secret_ledger, simhash, telephony
+from . import licenses, mixing, pieces, quality_model, quality_rules, secret_ledger, simhash, telephony
 
 #: The folder of the public vocabulary files; on a cluster the same path on every driver.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.carried(_documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_documents(spark, sf_dir))
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = secret_ledger.by_path(docs, secret_ledger.scan(docs))
@@ -49,6 +53,10 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_ledger.spans_text(own), 256).alias("base_sha256"), secret_ledger.spans_text(F.col("spans")).alias("spans"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.trained_and_scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_documents(spark, sf_dir))
 
@@ -61,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_telephony": op4_telephony,
+    "op5_licenses": op5_licenses,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_pieces": op10_pieces,
 }
