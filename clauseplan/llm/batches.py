@@ -72,7 +72,7 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column as one array, and the ``n + 1`` offsets of its rows (null: empty)."""
-    if column.null_count:
+    if column.null_count:  # also as a fresh copy without an offset
         column = column.fill_null("" if pa.types.is_string(column.type) else b"")
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64

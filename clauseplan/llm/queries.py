@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, pieces, quality_model, quality_rules, secret_ledger, simhash, telephony
+from . import licenses, mixing, partial_match, pieces, quality_model, quality_rules, secret_ledger, simhash, telephony
 
 #: The folder of the public vocabulary files; on a cluster the same path on every driver.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -40,6 +40,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_documents(spark, sf_dir))
 
 
+def op6_partial_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_match.scores(_documents(spark, sf_dir))
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = secret_ledger.by_path(docs, secret_ledger.scan(docs))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_telephony": op4_telephony,
     "op5_licenses": op5_licenses,
+    "op6_partial_match": op6_partial_match,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
