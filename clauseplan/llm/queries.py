@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, partial_match, pieces, quality_model, quality_rules, secret_ledger, simhash, telephony
+from . import licenses, mixing, partial_match, pieces, quality_model, quality_rules, secret_ledger, simhash, suffix_dedup, telephony
 
 #: The folder of the public vocabulary files; on a cluster the same path on every driver.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,6 +24,10 @@ def piece_model(folder: str = "") -> bytes:
     return Path(folder or TOKENIZERS, PIECE_MODEL).read_bytes()
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_documents(spark, sf_dir), keep_text=False)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
@@ -70,6 +74,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_telephony": op4_telephony,
