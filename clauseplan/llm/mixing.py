@@ -97,15 +97,16 @@ def draw(id: str, seed: str = SEED) -> Column:
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", by: Column | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """Per document: id, ``topic``, ``n_tokens``, ``probability`` (six places) and ``kept``."""
-    narrow = marked(docs.select(*dict.fromkeys([id, source, lang, text])), id, source, lang, text, by).drop(text)
-    out = chances(narrow, targets, keep, temper, rounds)
-    return out.select(F.col(id), F.nullif(F.col("_topic"), F.lit(NONE)).alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_chance", 6).alias("probability"), (draw(id, seed) < F.col("_chance")).alias("kept"))
+    packed = docs.select(*[F.col(v).alias(k) for k, v in {"id": id, "source": source, "lang": lang, "text": text}.items()])
+    out = chances(marked(packed, "id", "source", "lang", "text", by).drop("text"), targets, keep, temper, rounds)
+    return out.select(F.col("id").alias(id), F.nullif(F.col("_topic"), F.lit(NONE)).alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_chance", 6).alias("probability"), (draw("id", seed) < F.col("_chance")).alias("kept"))
 
 
 def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", by: Column | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """The kept rows with all their columns."""
-    out = chances(marked(docs, id, source, lang, text, by), targets, keep, temper, rounds)
-    return out.filter(draw(id, seed) < F.col("_chance")).select(*docs.columns)
+    """The kept rows with all their columns, whatever those are called.  ``by`` may name ``id``, ``source``, ``lang``, ``text``."""
+    packed = docs.select(F.struct("*").alias("row"), *[F.col(v).alias(k) for k, v in {"id": id, "source": source, "lang": lang, "text": text}.items()])
+    out = chances(marked(packed, "id", "source", "lang", "text", by), targets, keep, temper, rounds)
+    return out.filter(draw("id", seed) < F.col("_chance")).select("row.*")
 
 
 def oracle(keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = SEED) -> str:

@@ -1,9 +1,9 @@
 """A quality classifier: n-gram indicators scaled by naive Bayes log-count ratios, under a linear hinge-loss model.
 
-Indicators are hashed: byte 3-grams, words, pairs of words, and how many runs of four words a text repeats.  The log-count
-ratios come from all labelled training rows, by one distributed sum.  The linear model is fitted on the driver by dual
-coordinate descent, on at most ``fit_rows`` of the training rows, chosen by a hash of their id; a fifth of those rows
-is held back to turn margins into probabilities.
+Indicators are hashed: byte 3-grams, words, pairs of words, and how many runs of four words a text repeats.  The model is
+fitted on the driver, on at most ``fit_rows`` of the labelled training rows, chosen by a hash of their id: log-count
+ratios, then a linear model by dual coordinate descent.  A fifth of those rows is held back from the descent and turns
+margins into probabilities.  All documents are scored.
 
 Defined results: a null text counts as empty and gets the score of no indicators; training rows with a null id, label or
 text, or a label other than 0 and 1, are left out; repeated rows count and score each; without training rows of both labels
@@ -12,6 +12,7 @@ every score is 0.5; an empty table gives an empty result; columns beside those n
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .batches import LOWER, Words, map_chunks, mixed, whole_text
 
 BITS = 17
-#: The bound on the rows that the linear model is fitted on.
-FIT_ROWS = 4000
+#: The bound on the labelled rows that the model is fitted on.
+FIT_ROWS = 8000
 THRESHOLD = 0.7
 
 
@@ -120,55 +121,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(features, bounds) + self.offset, -30, 30)))
 
 
-def fitted(training: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS, labelled: int | None = None) -> Model | None:
-    """The model of a frame with one row for each labelled training document; None unless both labels are there.
-    ``labelled``: about how many rows there are, if known; else they are counted."""
-    source = training.select(F.col(id).cast("string").alias("_id"), F.col(text).cast("string").alias("_text"), F.col(label).cast("int").alias("_label"))
-    source = source.filter("_id is not null and _text is not null and _label in (0, 1)")
-    n = labelled if labelled is not None else source.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    source = source.withColumn("_chosen", F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> DataFrame:
+    """``label`` and ``own`` (packed indicators) of at most ``fit_rows`` labelled documents: those whose ids have the least
+    hashes.  Their ids are so few that they are broadcast, and texts stay where they are."""
+    known = labels.select(F.col(id).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_key is not null and _label in (0, 1)")
+    few = known.orderBy(F.xxhash64("_key"), "_key", "_label").limit(fit_rows)
+    source = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
+    source = source.join(F.broadcast(few), F.col("_id") == F.col("_key")).select("_text", "_label")
 
     def make():
-        sums = np.zeros((2, 1 << bits), np.int64)
-        seen = np.zeros(2, np.int64)
-
-        def work(batch: pa.RecordBatch):
+        def work(batch: pa.RecordBatch) -> dict:
             features, bounds = indicators(batch.column("_text"), bits)
-            labels = batch.column("_label").to_numpy()
-            per = np.repeat(labels, np.diff(bounds))
-            for k in (0, 1):
-                sums[k] += np.bincount(features[per == k], minlength=1 << bits)
-                seen[k] += (labels == k).sum()
-            for i, chosen in enumerate(batch.column("_chosen").to_pylist()):
-                if chosen:
-                    yield {"feature": [None], "n0": [None], "n1": [None], "label": [int(labels[i])], "own": [features[bounds[i] : bounds[i + 1]].astype("<i4").tobytes()]}
-
-        def finish():
-            at = np.flatnonzero(sums.any(axis=0))
-            every = np.concatenate([[-1], at])
-            nothing = [None] * len(every)
-            return {"feature": every, "n0": np.concatenate([seen[:1], sums[0, at]]), "n1": np.concatenate([seen[1:], sums[1, at]]), "label": nothing, "own": nothing}
-
-        work.finish = finish
+            return {"label": batch.column("_label"), "own": [features[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]}
+
         return work
 
-    from .shared import cut
+    return map_chunks(source, make, "label int, own binary", "_text").limit(fit_rows)
 
-    made = cut(map_chunks(source, make, "feature int, n0 long, n1 long, label int, own binary", "_text"))
-    totals = made.filter("feature is not null").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # 2 ** bits + 1 rows at most
-    chosen = made.filter("own is not null").select("label", "own").limit(2 * fit_rows + 1000).toPandas()
-    seen = totals[totals.feature == -1]
-    if seen.empty or not int(seen.n0.iloc[0]) or not int(seen.n1.iloc[0]) or chosen.label.nunique() < 2:
+
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model | None:
+    """The model of labelled documents; None unless both labels are there."""
+    chosen = training_rows(docs, labels, fit_rows, id, text, label, bits).toPandas()
+    if chosen.label.nunique() < 2:
         return None
-    totals = totals[totals.feature >= 0]
-    counts = np.zeros((2, 1 << bits))
-    counts[0, totals.feature], counts[1, totals.feature] = totals.n0, totals.n1
-    share = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
-    scale = np.log(share[1] / share[0])
-    order = sorted(range(len(chosen)), key=lambda i: (mixed_bytes(chosen.own[i]), chosen.label[i]))
+    order = sorted(range(len(chosen)), key=lambda i: (zlib.crc32(chosen.own[i]), chosen.own[i], chosen.label[i]))
     rows = [np.frombuffer(chosen.own[i], "<i4") for i in order]
     labels = chosen.label.to_numpy()[order]
+    counts = np.ones((2, 1 << bits))
+    for r, k in zip(rows, labels, strict=True):
+        counts[k, r] += 1
+    share = counts / counts.sum(axis=1, keepdims=True)
+    scale = np.log(share[1] / share[0])
     back = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
     weights, bias = dual_descent([r for r, b in zip(rows, back, strict=True) if not b], scale, np.where(labels[~back] == 1, 1.0, -1.0))
     model = Model(scale, weights, bias)
@@ -179,12 +162,6 @@ def fitted(training: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", te
     return model
 
 
-def mixed_bytes(data: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(data)
-
-
 def scored(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: id, ``score`` and ``predicted``.  The model has ``2 ** BITS`` weights however large the data."""
     context = docs.sparkSession.sparkContext
@@ -213,7 +190,5 @@ def fold(id: str = "doc_id", folds: int = 4) -> Column:
 
 def trained_and_scored(docs: DataFrame, labels: DataFrame, held_fold: int = 2, id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Fit on the labelled documents outside ``held_fold``, score all: id, ``held_out``, ``score``, ``predicted``."""
-    known = labels.select(F.col(id).alias("_key"), F.col(label).alias("_label")).filter((fold("_key") != held_fold) & F.col("_label").isNotNull())
-    outside = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter(fold("_id") != held_fold)
-    model = fitted(outside.join(known, F.col("_id") == F.col("_key")), fit_rows, "_id", "_text", "_label", labelled=known.count())
+    model = fitted(docs, labels.filter(fold(id) != held_fold), fit_rows, id, text, label)
     return scored(docs, model, id, text).select(F.col(id), (fold(id) == held_fold).alias("held_out"), "score", "predicted")

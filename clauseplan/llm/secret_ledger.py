@@ -152,17 +152,28 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id
     there is such a column, is set to the new text's code points where the text changed."""
     ledger = scan(docs, rules, path=id, text=text)
     found = findings(ledger, rules).select(F.col("blob").alias("_found"), "spans")
-    keyed = docs.withColumn("_blob", F.sha2(whole_text(text).cast("binary"), 256))
-    joined = keyed.join(found.withColumnRenamed("spans", "_spans"), F.col("_blob") == F.col("_found"), "left")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.sha2(whole_text(text).cast("binary"), 256).alias("_blob"))
+    joined = packed.join(found.withColumnRenamed("spans", "_spans"), F.col("_blob") == F.col("_found"), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
+    def piece(a, b=None):
+        size = F.lit(2147483647) if b is None else (b - a).cast("int")
+        return F.substring(F.col("_text"), a.cast("int") + 1, size)
+
     def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("[secret]")))
+        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("[secret]")))
         return F.struct(F.coalesce(gap, acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, 2147483647)))
+    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], piece(acc["at"])))
     changed = F.col("_spans").isNotNull()
-    out = joined.withColumn(text, F.when(changed, done).otherwise(F.col(text)))
-    if length in docs.columns:
-        out = out.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return out.select(*docs.columns)
+    own = joined.withColumn("_new", F.when(changed, done).otherwise(F.col("_text")))
+
+    def column(name: str) -> Column:
+        kept = F.col("_row").getField(name)
+        if name == text:
+            return F.col("_new").alias(name)
+        if name == length:
+            return F.when(changed, F.length("_new").cast(docs.schema[name].dataType)).otherwise(kept).alias(name)
+        return kept.alias(name)
+
+    return own.select(*map(column, docs.columns))

@@ -265,14 +265,12 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
             view = memoryview(chunk.data)
             keys = [hashlib.blake2b(view[a : b + LENGTH - 1], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             own = ids[row].tolist()
-            for k, (key, i) in enumerate(zip(keys, own, strict=True)):
-                if key not in least or i < own[least[key]]:
-                    least[key] = k
+            for key, i in zip(keys, own, strict=True):
+                if i < least.get(key, 1 << 63):
+                    least[key] = i
             base = chunk.offsets[row]
-            sent = np.zeros(len(keys), bool)
-            sent[list(least.values())] = True
-            lost = np.array([own[least[key]] < i for key, i in zip(keys, own, strict=True)], bool) if keys else sent
-            sent_at, lost_at = np.flatnonzero(sent), np.flatnonzero(lost)
+            lost = np.array([least[key] < i for key, i in zip(keys, own, strict=True)], bool)  # the others may have it from elsewhere
+            sent_at, lost_at = np.flatnonzero(~lost), np.flatnonzero(lost)
             for at, key in ((sent_at, True), (lost_at, False)):
                 yield {"block": [keys[k] for k in at.tolist()] if key else [None] * len(at), "_i": ids[row[at]], "_s": sums[row[at]], "a": starts[at] - base[at], "b": ends[at] - base[at]}
 
@@ -409,11 +407,9 @@ def shared_windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
             start = np.concatenate([[True], place[order][1:] != place[order][:-1]]) if len(order) else np.zeros(0, bool)
             least = np.zeros(len(a), np.int64)
             least[order] = np.repeat(own[order][start], np.diff(np.concatenate([np.flatnonzero(start), [len(order)]])))
-            sent = np.zeros(len(a), bool)
-            sent[order[start]] = True
             base = chunk.offsets[row]
             lost = own > least
-            at = np.flatnonzero(sent)
+            at = np.flatnonzero(~lost)
             size = b[at] - a[at]
             upto = np.concatenate([[0], np.cumsum(size)])
             body = chunk.data[np.arange(upto[-1]) + np.repeat(a[at] - upto[:-1], size)]

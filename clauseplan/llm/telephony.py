@@ -195,10 +195,9 @@ def expand(wave: Wave) -> np.ndarray:
 
 
 def decoded(media: DataFrame, column: str = "media", rate: int = 16000) -> DataFrame:
-    """All columns, and ``pcm`` (binary, 16-bit little-endian mono at ``rate``) and ``problem``, which must be new names.
-    The ADPCM blocks of all rows of a chunk that share a block size are decoded together."""
-    if clash := {"pcm", "problem"} & set(media.columns):
-        raise ValueError(f"columns would clash: {sorted(clash)}")
+    """All columns, and ``pcm`` (binary, 16-bit little-endian mono at ``rate``) and ``problem``; columns so called before
+    are replaced.  The ADPCM blocks of all rows of a chunk that share a block size are decoded together."""
+    media = media.drop(*({"pcm", "problem"} - {column}))
     at = media.columns.index(column)
     from pyspark.sql import types as T
 
