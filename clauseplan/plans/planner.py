@@ -183,7 +183,10 @@ class Planner:
         for r in rules:
             by = {f.name: f.expr for f in r.head.fields}
             own = [by[n] for n in names] if set(by) == set(names) else [f.expr for f in r.head.fields]
-            rows.append(F.struct(*[self.value(x, Frame()).alias(n) for n, x in zip(names, own, strict=True)]))
+            rows.append(own)
+        text = [len({isinstance(r[i].value, str) for r in rows if isinstance(r[i], Lit) and r[i].value is not None}) > 1 for i in range(len(names))]
+        values = [[self.value(x, Frame()).cast("string") if t else self.value(x, Frame()) for x, t in zip(r, text, strict=True)] for r in rows]
+        rows = [F.struct(*[v.alias(n) for n, v in zip(names, r, strict=True)]) for r in values]
         if len(rows) == 1:
             one = rules[0].head.fields
             return self.spark.range(1).select(*[self.value(f.expr, Frame()).alias(f.name) for f in one])
