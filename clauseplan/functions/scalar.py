@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import PlanError
+from . import host, places
 
 #: Tells the type of a column.
 TypeOf = Callable[[Column], T.DataType]
@@ -91,7 +92,7 @@ OPERATORS: dict[str, Callable[..., Column]] = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divide, "%": lambda a, b: a % b,
     "^": lambda a, b: F.pow(a.cast("double"), b.cast("double")), "++": F.concat, "++?": F.concat,
     "==": lambda a, b: a == b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
-    "&&": lambda a, b: a & b, "||": lambda a, b: a | b, "!": lambda a: ~a, "neg": lambda a: -a, "in": within,
+    "&&": lambda a, b: a & b, "||": lambda a, b: a | b, "!": lambda a: ~a, "neg": lambda a: -a,
     "is": lambda a, b: a.eqNullSafe(b), "is not": lambda a, b: ~a.eqNullSafe(b),
     "->": lambda a, b: F.struct(a.alias("arg"), b.alias("value")),
 }
@@ -127,7 +128,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "Div": lambda a, b: F.call_function("div", a, b), "IeeeDivide": divide, "SafeDivide": F.try_divide, "SafeAdd": F.try_add, "SafeSubtract": F.try_subtract, "SafeMultiply": F.try_multiply, "SafeNegate": lambda x: F.try_subtract(F.lit(0), x),
     "IsInf": lambda x: x.isin(float("inf"), float("-inf")), "IsNan": F.isnan, "BitCount": F.bit_count, "BitCastToInt64": lambda x: x.cast("long"),
     "BitCastToUint32": lambda x: x.bitwiseAND(F.lit(4294967295)), "BitCastToInt32": lambda x: (((x.cast("long") + 2147483648).bitwiseAND(F.lit(4294967295))) - 2147483648).cast("int"),
-    "BitCastToUint64": lambda x: F.when(x < 0, x.cast("decimal(20,0)") + F.lit(18446744073709551616).cast("decimal(20,0)")).otherwise(x.cast("decimal(20,0)")),
+    "BitCastToUint64": lambda x: F.when(x < 0, x.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(x.cast("decimal(20,0)")),
     # types and nulls
     "ToFloat64": lambda x: x.cast("double"), "ToUInt64": lambda x: x.cast("long"), "Num": lambda x: x, "Str": lambda x: x, "String": lambda x: x.cast("string"),
     "Coalesce": F.coalesce, "IsNull": F.isnull, "IfNull": F.ifnull, "Ifnull": F.ifnull, "NullIf": F.nullif, "Nullif": F.nullif, "ProtoDefaultIfNull": F.coalesce,
@@ -159,6 +160,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
 TYPED: dict[str, Callable[[TypeOf, list[Column]], Column]] = {
     "ToInt64": lambda kind, v: to_int(v[0], kind(v[0])),
     "ToString": lambda kind, v: to_text(v[0], kind(v[0])),
+    "in": lambda kind, v: F.lit(None).cast("boolean") if isinstance(kind(v[0]), T.NullType) else within(*v),
 }
 LITERAL = {"Cast": lambda x, name: x.cast(kind_named(name)), "TryCast": lambda x, name: x.try_cast(kind_named(name)), "Format": lambda fmt, *v: F.format_string(fmt, *v)}
 
@@ -169,14 +171,16 @@ def spark_name(name: str) -> str:
 
 
 def known_name(name: str, spark_functions: set[str]) -> bool:
-    return name in OPERATORS or name in FUNCTIONS or name in TYPED or name in LITERAL or name[:1].isupper() and bool({spark_name(name), name.lower()} & spark_functions)
+    return name in OPERATORS or name in FUNCTIONS or name in TYPED or name in LITERAL or name in host.NAMES or name in places.FUNCTIONS or name[:1].isupper() and bool({spark_name(name), name.lower()} & spark_functions)
 
 
 def call(name: str, values: list[Column], kind: TypeOf, spark_functions: set[str]) -> Column:
     """The column of a built-in by its language name; beyond the tables above, Spark's own function of that name."""
     if name in TYPED:
         return TYPED[name](kind, values)
-    function = OPERATORS.get(name) or FUNCTIONS.get(name)
+    if name in host.NAMES:
+        return host.call(name, values)
+    function = OPERATORS.get(name) or FUNCTIONS.get(name) or places.FUNCTIONS.get(name)
     if function:
         try:
             return function(*values)

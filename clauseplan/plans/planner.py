@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from ..lang.tree import (
 from ..operators.lineage import cut
 from ..operators.relational import all_of, anti_join, attach_row, quoted, searched, sorted_by, union_all
 
+#: The names of Spark's own functions, asked for once.
+_FUNCTIONS: set[str] = set()
 SPECIAL = {"Today": ("date",), "Now": ("timestamp",)}
 
 
@@ -49,17 +51,15 @@ class Planner:
         self.overrides: dict[str, DataFrame | None] = {}
         self.uses = {n: set().union(*(used_by(r) for r in rs)) for n, rs in rules.items()}
         self.numbers = count()
-        self._functions: set[str] | None = None
         self._macro: dict[str, bool] = {}
 
     # -- names
 
     @property
     def spark_functions(self) -> set[str]:
-        if self._functions is None:
-            rows = self.spark.sql("SHOW SYSTEM FUNCTIONS").collect()  # a few hundred names
-            self._functions = {r[0] for r in rows}
-        return self._functions
+        if not _FUNCTIONS:
+            _FUNCTIONS.update(r[0] for r in self.spark.sql("SHOW SYSTEM FUNCTIONS").collect())  # a few hundred names
+        return _FUNCTIONS
 
     def fresh(self, hint: str = "") -> str:
         return f"_{next(self.numbers)}_{hint}" if hint else f"_{next(self.numbers)}"
@@ -169,10 +169,36 @@ class Planner:
         if not ops:
             return df.distinct()
         keys = [c for c in df.columns if c not in ops]
+        df = self.best_rows(df, keys, ops)
         made = [self.aggregated(op, quoted(c)).alias(c) for c, op in ops.items()]
         out = df.groupBy(*map(quoted, keys)).agg(*made) if keys else df.agg(*made)
         return out.select(*map(quoted, df.columns))
 
+    def best_rows(self, df: DataFrame, keys: list[str], ops: dict[str, str]) -> DataFrame:
+        """Where a group's k best items are all that is asked of it, only the rows of those; Spark drops the others before
+        it shuffles, and no group is gathered whole."""
+        (column, op), *more = ops.items()
+        name, extra = self.built_in(op)
+        if more or name not in ("ArgMaxK", "ArgMinK") or len(extra) != 1 or not isinstance(extra[0], Lit):
+            return df
+        score = quoted(column)["value"]
+        order = score.desc_nulls_last() if name == "ArgMaxK" else score.asc_nulls_last()
+        if not keys:
+            return df.orderBy(order).limit(int(extra[0].value))
+        place = self.fresh("place")
+        return df.withColumn(place, F.row_number().over(Window.partitionBy(*map(quoted, keys)).orderBy(order))).filter(F.col(place) <= int(extra[0].value)).drop(place)
+
+    def built_in(self, op: str, depth: int = 0) -> tuple[str | None, list[Node]]:
+        """The built-in aggregate behind a name, through functions ``Own(x) = BuiltIn(x, ...)``, and its further arguments."""
+        if op in self.rules and depth < 20:
+            rule = self.rules[op][0]
+            fields = {f.name: f.expr for f in rule.head.fields}
+            body, parameter = fields.get(VALUE), fields.get("col0")
+            if len(self.rules[op]) == 1 and rule.body is None and isinstance(body, Call) and isinstance(parameter, Var) and body.values and body.values[0] == parameter:
+                name, extra = self.built_in(body.name, depth + 1)
+                return name, body.values[1:] or extra
+        return aggregates.named(op), []
+
     def facts(self, rules: list[Rule]) -> DataFrame:
         """Constant rows as one local relation."""
         names = [f.name for f in rules[0].head.fields]
@@ -558,19 +584,11 @@ class Planner:
 
     # -- expressions
 
-    def aggregated(self, op: str, value: Column, depth: int = 0) -> Column:
-        """A built-in aggregate, or a function ``Own(x) = BuiltIn(x, ...)`` as one."""
-        if op in self.rules and depth < 20:
-            rule = self.rules[op][0]
-            fields = {f.name: f.expr for f in rule.head.fields}
-            body = fields.get(VALUE)
-            parameter = fields.get("col0")
-            if len(self.rules[op]) == 1 and rule.body is None and isinstance(body, Call) and isinstance(parameter, Var) and body.values and body.values[0] == parameter:
-                extra = [self.value(v, Frame()) for v in body.values[1:]]
-                return aggregates.call(body.name, [value, *extra]) if extra or body.name not in self.rules else self.aggregated(body.name, value, depth + 1)
-        if aggregates.named(op) is None:
+    def aggregated(self, op: str, value: Column) -> Column:
+        name, extra = self.built_in(op)
+        if name is None:
             raise PlanError(f"there is no aggregate {op}")
-        return aggregates.call(op, [value])
+        return aggregates.call(name, [value, *[self.value(x, Frame()) for x in extra]])
 
     def value(self, node: Node, frame: Frame) -> Column:
         """The column of an expression whose variables are bound."""

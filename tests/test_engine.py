@@ -69,9 +69,12 @@ def test_programs(spark, text, want):
     ("ToString(10000000.0)", "10000000.0"), ("ToString(0.0001)", "0.0001"), ("ToString(1e16)", "1e+16"), ("ToString(0.00001)", "1e-05"), ("ToString(1.5)", "1.5"), ("ToString(true)", "true"),
     ('Join(["a", null, "b"], "-")', "a-b"), ("7 / 2", 3.5), ("2 ^ 3", 8.0), ("10 % 4", 2), ("Greatest(1, null)", 1), ('Like("abc", "a%")', True), ('Format("%s-%d", "a", 2)', "a-2"),
     ('Cast("5", "int64")', 5), ('TryCast("x", "int64")', None), ("Sort([3, 1])", [1, 3]), ("Unique([2, 1, 2])", [1, 2]), ("[1, 2] ++ [3]", [1, 2, 3]), ('"a" ++ null', None),
-    ("if 1 > 2 then 1 else 5", 5), ("If(true, 1, 2)", 1), ("Coalesce(null, 4)", 4), ('JsonExtractScalar("{\\"a\\": 3}", "$.a")'.replace('\\"', "'"), None), ("Abs(-3)", 3), ('ToHex(Md5("a"))', "0cc175b9c0f1b6a831c399e269772661"),
+    ("if 1 > 2 then 1 else 5", 5), ("If(true, 1, 2)", 1), ("Coalesce(null, 4)", 4), ("""JsonExtractScalar('{"a": 3}', "$.a")""", "3"), ("Abs(-3)", 3), ('ToHex(Md5("a"))', "0cc175b9c0f1b6a831c399e269772661"),
     ('RegexpExtract("a12", "[0-9]+")', "12"), ("GenerateArray(1, 3)", [1, 2, 3]), ("GenerateArray(3, 1)", []), ("NetIpv4FromInt64(16909060)", "1.2.3.4"), ('NetIpv4ToInt64("1.2.3.4")', 16909060), ("BitCastToUint64(-1)", 18446744073709551615),
     ("Trunc(-2.5)", -2.0), ("SafeDivide(1, 0)", None), ("Cosh(0)", 1.0), ('Initcap("ab c")', "Ab C"), ('RangeBucket(5, [1, 5, 9])', 2), ("!true", False),
+    ('NetFormatIp(16909060)', "1.2.3.4"), ('NetIpInNet("10.1.2.3", "10.0.0.0/8")', True), ('NetSafeIpFromString("x")', None), ('Normalize("e\u0301")', "\u00e9"), ('ToBase32(FromBase32("MFRGG==="))', "MFRGG==="),
+    ("Round(StDistance(StGeogpoint(0, 0), StGeogpoint(0, 1)) / 1000, 1)", 111.2), ('StAstext(StGeogfromtext("LINESTRING(1 2, 3 4.5)"))', "LINESTRING(1 2, 3 4.5)"), ('StContains(StGeogfromtext("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"), StGeogpoint(1, 2))', True),
+    ('StContains(StGeogfromtext("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"), StGeogpoint(5, 2))', False), ("StX(StGeogpoint(3, 4))", 3.0), ('StAsgeojson(StGeogpoint(3, 4))', '{"type": "Point", "coordinates": [3, 4]}'), ('Round(StArea(StGeogfromtext("POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))")) / 1000000, -2)', 12400.0),
     ('ToString(DateAddDay("2024-02-28", 2))', "2024-03-01"), ('DateDiffDay("2024-03-01", "2024-02-28")', 2),
 ])
 def test_functions(spark, expr, want):
@@ -79,6 +82,14 @@ def test_functions(spark, expr, want):
     assert got == want
 
 
+def test_top_k(spark):
+    text = 'S(g: "a", i: "x", n: 3); S(g: "a", i: "y", n: 9); S(g: "a", i: "z", n: null); S(g: "b", i: null, n: 1); '
+    assert rows(spark, text + "T(x) = ArgMaxK(x, 2); Out(g:, t? T= i -> n) distinct :- S(g:, i:, n:);") == [("a", ["y", "x"]), ("b", [None])]
+    assert rows(spark, text + "T(x) = ArgMinK(x, 3); Out(t? T= i -> n) distinct :- S(i:, n:);") == [([None, "x", "y"],)]
+    assert rows(spark, text + "T(x) = ArgMinK(x, 1); Out(g:, t? T= i -> n, k? += 1) distinct :- S(g:, i:, n:);") == [("a", ["x"], 3), ("b", [None], 1)]
+    assert rows(spark, text + "T(x) = ArgMinK(x, 1); Out(t? T= i -> n) distinct :- S(i:, n:), i == 0 + 5;".replace("i == 0 + 5", 'i == "none"')) == [(None,)]
+
+
 def test_windows(spark):
     text = "N(k: 1, g: 1); N(k: 2, g: 1); N(k: 3, g: 2); N(k: null, g: 1); "
     assert rows(spark, text + "Out(k:, s: CumulativeSum(k, [g], [k])) :- N(k:, g:);") == sorted([(1, 1), (2, 3), (3, 3), (None, 3)], key=repr)
