@@ -214,8 +214,8 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarra
 
 def event_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """``event`` and ``lp``, the base-10 logarithm of its probability, from ``event`` and ``n``."""
-    low = counts.filter("n > 0").groupBy(F.col("event").bitwiseAND(F.lit(0xFFFF)).alias("e")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
-    shared = counts.sparkSession.sparkContext.broadcast((low["e"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
+    low = counts.filter("n > 0").groupBy(F.col("event").bitwiseAND(F.lit(0xFFFF)).alias("e")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    shared = counts.sparkSession.sparkContext.broadcast(tuple(low.column(c).to_numpy().astype(np.int64) for c in ("e", "n")))
 
     def walk(table: pa.Table) -> pa.Table:
         keys = table.column("event").to_numpy()
@@ -326,25 +326,24 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     keyed = source.withColumn("_key", F.xxhash64("_id", "_text"))
 
     counts = cut(counted(source.select("_text", "_held"), order))
-    common = counts.filter("common is not null").orderBy(F.desc("n"), "common").limit(COMMON_WORDS).select("common").toPandas()
-    common = np.sort(common["common"].to_numpy(np.int64))
+    common = counts.filter("common is not null").orderBy(F.desc("n"), "common").limit(COMMON_WORDS).select("common").toArrow()
+    common = np.sort(common.column("common").to_numpy().astype(np.int64))
     blocks = max(1, -(-counts.filter("event is not null").count() // block))
     table = event_table(counts.filter("event is not null").select("event", "n"), order).withColumn("_block", F.pmod(F.xxhash64("event"), F.lit(blocks)))
     table = cut(table)
 
     parts = cut(base_parts(keyed.select("_key", "_text", "_held"), common))
-    sums = parts.filter("_key is null").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # COMMON_WORDS + 2 rows at most
-    sums = dict(zip(sums["place"].tolist(), sums["n"].tolist(), strict=True))
+    sums = parts.filter("_key is null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COMMON_WORDS + 2 rows at most
+    sums = dict(zip(*(sums.column(c).to_pylist() for c in ("place", "n")), strict=True))
     word_counts = np.array([sums.get(i, 0) for i in range(len(common))], np.int64)
 
     shared_words = spark.sparkContext.broadcast((common, word_counts))
 
     def one_pass(number: int) -> DataFrame:
-        part = table.filter(F.col("_block") == number).select("event", "lp").toPandas()
-        keys, values = part["event"].to_numpy(np.int64), part["lp"].to_numpy(np.float64)
-        by_key = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[by_key], values[by_key]))
-        del part, keys, values
+        part = table.filter(F.col("_block") == number).select("event", "lp").toArrow()  # ``block`` rows or so
+        by_key = np.argsort(part.column("event").to_numpy())
+        shared = spark.sparkContext.broadcast(tuple(part.column(c).to_numpy()[by_key] for c in ("event", "lp")))
+        del part, by_key
 
         def make():
             keys, values = shared.value
