@@ -241,8 +241,8 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
         return work
 
     found = map_chunks(docs.select("_text", "_s"), make, "h long, n long", "_text").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()
-    return np.sort(top["h"].to_numpy(np.int64))
+    top = found.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().astype(np.int64))
 
 
 def copied_blocks(docs: DataFrame) -> DataFrame:
