@@ -141,12 +141,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model | None:
     """The model of labelled documents; None unless both labels are there."""
-    chosen = training_rows(docs, labels, fit_rows, id, text, label, bits).toPandas()
-    if chosen.label.nunique() < 2:
+    chosen = training_rows(docs, labels, fit_rows, id, text, label, bits).toArrow()
+    own, marks = (chosen.column(c).to_pylist() for c in ("own", "label"))
+    if len(set(marks)) < 2:
         return None
-    order = sorted(range(len(chosen)), key=lambda i: (zlib.crc32(chosen.own[i]), chosen.own[i], chosen.label[i]))
-    rows = [np.frombuffer(chosen.own[i], "<i4") for i in order]
-    labels = chosen.label.to_numpy()[order]
+    order = sorted(range(len(own)), key=lambda i: (zlib.crc32(own[i]), own[i], marks[i]))
+    rows = [np.frombuffer(own[i], "<i4") for i in order]
+    labels = np.array(marks)[order]
     counts = np.ones((2, 1 << bits))
     for r, k in zip(rows, labels, strict=True):
         counts[k, r] += 1
