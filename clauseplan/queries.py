@@ -199,6 +199,28 @@ add("f_dates", 'Out(k:, next: ToString(DateAddDay(d, 30)), gap: DateDiffDay(d, "
 add("f_hashes", 'Out(k:, m: ToHex(Md5(n)), s: ToHex(Sha256(n))) :- nation(n_nationkey: k, n_name: n);', "SELECT n_nationkey AS k, md5(n_name) AS m, sha256(n_name) AS s FROM nation")
 add("f_regex", 'Out(k:, hit: RegexpContains(n, "[0-9]+$"), num: RegexpExtract(n, "[0-9]+"), rep: RegexpReplace(n, "[0-9]", "#")) :- customer(c_custkey: k, c_name: n);', "SELECT c_custkey AS k, regexp_matches(c_name, '[0-9]+$') AS hit, nullif(regexp_extract(c_name, '[0-9]+'), '') AS num, regexp_replace(c_name, '[0-9]', '#', 'g') AS rep FROM customer")
 
+# More of the inventory
+add("p7_assignment", "Out(k:, y:) :- nation(n_nationkey: k), y = k + 1;", "SELECT n_nationkey AS k, n_nationkey + 1 AS y FROM nation")
+add("p17_equivalence", "Out(k:) :- nation(n_nationkey: k, n_regionkey: r), (k > 10 <=> r > 2);", "SELECT n_nationkey AS k FROM nation WHERE (n_nationkey > 10) = (n_regionkey > 2)")
+add("j6_bag_semi", "Out(name:) :- customer(c_custkey: c, c_name: name), orders(o_custkey: c, o_orderpriority: \"1-URGENT\");", "SELECT c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
+add("j13_point_in_time", "Out(n? += 1) distinct :- orders(o_orderdate: a, o_orderkey: k), lineitem(l_orderkey: k, l_shipdate: b), Today(date:), ToString(a) <= date, ToString(b) <= date;", "SELECT count(*)::BIGINT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate <= current_date AND l_shipdate <= current_date")
+add("a7_exact_count", "Out(n? ExactCount= s) distinct :- lineitem(l_suppkey: s);", "SELECT count(DISTINCT l_suppkey) AS n FROM lineitem")
+add("a12_arg_min_k", "Low(x) = ArgMinK(x, 2); Out(seg:, few? Low= c -> c) distinct :- customer(c_custkey: c, c_mktsegment: seg);", "SELECT c_mktsegment AS seg, list_slice(array_agg(c_custkey ORDER BY c_custkey), 1, 2) AS few FROM customer GROUP BY 1")
+add("a17_product", "Out(r:, p? *= ToFloat64(k + 1)) distinct :- nation(n_regionkey: r, n_nationkey: k);", "SELECT n_regionkey AS r, product(n_nationkey + 1) AS p FROM nation GROUP BY 1")
+add("a_statistics", "S(seg:, sd? StddevSamp= b, vp? VarPop= b, c? Corr= k -> b) distinct :- customer(c_custkey: k, c_mktsegment: seg, c_acctbal: b); Out(seg:, sd: Round(sd, 4), vp: Round(vp / 1000000, 4), c: Round(c, 6)) :- S(seg:, sd:, vp:, c:);",
+    "SELECT c_mktsegment AS seg, round(stddev_samp(c_acctbal), 4) AS sd, round(var_pop(c_acctbal) / 1000000, 4) AS vp, round(corr(c_acctbal, c_custkey), 6) AS c FROM customer GROUP BY 1")
+add("a_bits", "Out(r:, a? BitAnd= k, o? BitOr= k, x? BitXor= k) distinct :- nation(n_regionkey: r, n_nationkey: k);", "SELECT n_regionkey AS r, bit_and(n_nationkey) AS a, bit_or(n_nationkey) AS o, bit_xor(n_nationkey) AS x FROM nation GROUP BY 1")
+add("w7_more", "Out(k:, d: DenseRank(k, [r], [k]), q: Ntile(k, [], [k], 5), f: FirstValue(k, [r], [k]), n: Lead(k, [r], [k], 2)) :- nation(n_nationkey: k, n_regionkey: r);",
+    "SELECT n_nationkey AS k, (dense_rank() OVER w)::INTEGER AS d, (ntile(5) OVER (ORDER BY n_nationkey))::INTEGER AS q, first_value(n_nationkey) OVER w AS f, lead(n_nationkey, 2) OVER w AS n FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
+add("f_more_text", 'Out(k:, a: Lpad(n, 12, "*"), b: Repeat("ab", k % 3), c: Reverse(n), d: ByteLength(n), e: Strpos(n, "N"), f: EndsWith(n, "A"), g: Ord(n)) :- nation(n_nationkey: k, n_name: n);',
+    "SELECT n_nationkey AS k, lpad(n_name, 12, '*') AS a, repeat('ab', n_nationkey % 3) AS b, reverse(n_name) AS c, octet_length(encode(n_name))::INTEGER AS d, instr(n_name, 'N')::INTEGER AS e, ends_with(n_name, 'A') AS f, ascii(n_name) AS g FROM nation")
+add("f_trigonometry", "Out(k:, a: Round(Sin(k), 6), b: Round(Atan2(k, 2), 6), c: Round(Tanh(k / 10), 6), d: Round(Log10(k + 1), 6), e: Trunc(k / 4), f: Sign(k - 3)) :- nation(n_nationkey: k);",
+    "SELECT n_nationkey AS k, round(sin(n_nationkey), 6) AS a, round(atan2(n_nationkey, 2), 6) AS b, round(tanh(n_nationkey / 10.0::DOUBLE), 6) AS c, round(log10(n_nationkey + 1), 6) AS d, trunc(n_nationkey / 4.0::DOUBLE) AS e, sign(n_nationkey - 3)::DOUBLE AS f FROM nation")
+add("f_times", "Out(e:, u: UnixDate(Date(t)), m: ToString(TimestampTrunc(t, \"MONTH\"))) :- events(event_id: e, ts: t), e < 500;".replace("ToString(TimestampTrunc(t, \"MONTH\"))", "Substr(ToString(TimestampTrunc(t, \"MONTH\")), 1, 10)"),
+    "SELECT event_id AS e, date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS u, strftime(date_trunc('month', ts), '%Y-%m-%d') AS m FROM events WHERE event_id < 500")
+add("f_points", "Out(k:, km: Round(StDistance(StGeogpoint(k, 10), StGeogpoint(0, 10)) / 1000, 3)) :- nation(n_nationkey: k);",
+    "SELECT n_nationkey AS k, round(2 * 6371.010 * asin(sqrt(pow(cos(radians(10)), 2) * pow(sin(radians(n_nationkey) / 2), 2))), 3) AS km FROM nation")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
