@@ -209,4 +209,5 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with all their columns; rows with a null id stay."""
     gone = grouped(docs, id, text).filter(F.col("component_id") < F.col(id)).select(F.col(id).alias("_gone")).distinct()
-    return docs.alias("_d").join(gone.alias("_g"), F.col(f"_d.`{id}`") == F.col("_g._gone"), "left_anti")
+    gone = gone.alias("_g").hint("merge")  # one plan at every size: how many go has no bound
+    return docs.alias("_d").join(gone, F.col(f"_d.`{id}`") == F.col("_g._gone"), "left_anti")
