@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,12 @@ from .shared import cut
 
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1
+TILE = 1 << 15
+NO_HASH = 0
 BLOCK_BITS, BLOCK_GRAM = 8, 16
 #: Anchors treated window by window: so many at most, each in this share of some chunk's documents.
 COMMON, COMMON_SHARE, COMMON_LEAST = 4096, 0.01, 8
-#: Bytes of different segments that share one suffix array, at least a whole group.
+#: Bytes of different pieces that share one suffix array, at least those of a whole anchor.
 ARRAY_BYTES = 128 << 10
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -159,11 +162,13 @@ class Chunk:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
-    def grams(self, size: int) -> np.ndarray:
+    def grams(self, size: int, start: int = 0, end: int | None = None) -> np.ndarray:
+        """Hashes of the strings of ``size`` bytes that start from ``start`` up to ``end``."""
         n = len(self.data) - size + 1
-        if n <= 0:
+        end = n if end is None else min(n, end)
+        if end <= start:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[size:] - self.sums[:-size]) * self.back[:n] + np.uint64(size))
+        return mixed((self.sums[start + size : end + size] - self.sums[start:end]) * self.back[start:end] + np.uint64(size))
 
     def windows(self) -> np.ndarray:
         """Which positions start a whole window of their row."""
@@ -173,50 +178,112 @@ class Chunk:
         return out
 
     def segments(self, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window of each run of fresh windows with one anchor, and the anchor's hash."""
-        h = self.grams(ANCHOR)
+        """First and last window of each run of fresh windows with one anchor, and the anchor's hash.  Where a tile ends a
+        run may come in two parts, which meet under the same anchor all the same."""
         nothing = np.zeros(0, np.int64)
-        if len(h) < SPAN or not fresh.any():
+        n = len(self.data) - ANCHOR + 1
+        if n < SPAN or not fresh.any():
             return nothing, nothing, np.zeros(0, np.uint64)
-        ranked = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        least = ranked
-        while 2 * width <= SPAN:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = SPAN - width
-        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        at = np.flatnonzero(fresh[: len(anchor)])
-        own = anchor[at]
-        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        return at[first], at[last], h[own[first]]
+        starts, lasts, hashes = [], [], []
+        for tile in range(0, n - SPAN + 1, TILE):  # small enough for a processor's cache
+            end = min(tile + TILE, n - SPAN + 1)
+            at = np.flatnonzero(fresh[tile:end])
+            if not len(at):
+                continue
+            h = self.grams(ANCHOR, tile, end + SPAN - 1)
+            least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+            width = 1
+            while 2 * width <= SPAN:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            rest = SPAN - width
+            least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+            own = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.ones(len(at), bool)
+            new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            starts.append(at[first] + tile)
+            lasts.append(at[np.concatenate([first[1:], [len(at)]]) - 1] + tile)
+            hashes.append(h[own[first]])
+        return np.concatenate(starts), np.concatenate(lasts), np.concatenate(hashes)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, side="right") - 1
 
 
-def _pairs(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or ()), "<i8").reshape(-1, 2)
+def _pairs(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", "<u4").reshape(-1, 2).astype(np.int64)
 
 
-def _ranges(ids, sums, starts, ends) -> dict:
-    """One row for each (id, sum), with its ranges packed."""
-    ids, sums, starts, ends = (np.asarray(x, np.int64) for x in (ids, sums, starts, ends))
-    order = np.lexsort((starts, sums, ids))
-    ids, sums = ids[order], sums[order]
-    pairs = np.stack([starts[order], ends[order]], axis=1).astype("<i8")
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    cuts = np.concatenate([first, [len(ids)]])
-    return {"_i": ids[first], "_s": sums[first], "ranges": [pairs[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]}
+_ROW = np.dtype([("i", "<i8"), ("s", "<i8"), ("a", "<u4"), ("b", "<u4")])
+_PACKED = "home int, body binary"
 
 
-_RANGES = "_i long, _s long, ranges binary"
+def _rows(ids, sums, starts, ends) -> np.ndarray:
+    out = np.zeros(len(ids), _ROW)
+    out["i"], out["s"], out["a"], out["b"] = ids, sums, starts, ends
+    return out
+
+
+def _sent(rows: np.ndarray, homes: int):
+    """Ranges packed by the task that gathers their documents: per document its id, its sum and its number of ranges."""
+    order = np.lexsort((rows["a"], rows["s"], rows["i"]))
+    rows = rows[order]
+    home = (mixed(rows["s"].astype(np.int64).view(np.uint64) ^ rows["i"].astype(np.int64).view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(homes + 1))
+    for h in np.flatnonzero(np.diff(cuts)).tolist():
+        own = rows[order[cuts[h] : cuts[h + 1]]]
+        first = _firsts(own["i"], own["s"])
+        head = np.array([len(first), len(own)], "<i8")
+        counts = np.diff(np.concatenate([first, [len(own)]])).astype("<i4")
+        yield {"home": [h], "body": [b"".join(x.tobytes() for x in (head, own["i"][first], own["s"][first], counts, own["a"], own["b"]))]}
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    n, m = np.frombuffer(body, "<i8", 2).tolist()
+    counts = np.frombuffer(body, "<i4", n, 16 + 16 * n)
+    out = np.zeros(m, _ROW)
+    out["i"], out["s"] = (np.repeat(np.frombuffer(body, "<i8", n, at), counts) for at in (16, 16 + 8 * n))
+    out["a"], out["b"] = (np.frombuffer(body, "<u4", m, 16 + 20 * n + at) for at in (0, 4 * m))
+    return out
 
 
-def _gathered(ranges: DataFrame, name: str) -> DataFrame:
-    return ranges.groupBy("_i", "_s").agg(F.collect_list("ranges").alias(name))
+def _gathered(packed: DataFrame, name: str) -> DataFrame:
+    """One row for each document that has ranges: ``_i``, ``_s`` and its ranges, packed, under ``name``."""
+    homes = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def make():
+        held: list[np.ndarray] = []
+
+        def work(batch: pa.RecordBatch) -> None:
+            held.extend(_unpacked(x) for x in batch.column("body").to_pylist())
+
+        def finish():
+            if held:
+                rows = np.concatenate(held)
+                held.clear()
+                rows = rows[np.lexsort((rows["a"], rows["s"], rows["i"]))]
+                first = _firsts(rows["i"], rows["s"])
+                cuts = np.concatenate([first, [len(rows)]]).tolist()
+                pairs = np.stack([rows["a"], rows["b"]], axis=1)
+                yield {"_i": rows["i"][first], "_s": rows["s"][first], name: [pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]}
+
+        work.finish = finish
+        return work
+
+    return map_chunks(packed.repartition(homes, "home"), make, f"_i long, _s long, {name} binary", "body", 64 << 20)
 
 
 def common_anchors(docs: DataFrame) -> np.ndarray:
@@ -233,8 +300,12 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
                     fresh[chunk.offsets[row] : chunk.offsets[row + 1]] = False
                 seen.add(digest)
             first, _, h = chunk.segments(fresh)
-            own = np.unique(np.stack([h, chunk.rows(first).astype(np.uint64)], axis=1), axis=0)[:, 0] if len(h) > 1 else h
-            keys, n = np.unique(own, return_counts=True)
+            row = chunk.rows(first)
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            if len(h):  # an anchor counts once for each document
+                h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])]
+            keys, n = np.unique(h, return_counts=True)
             at = n >= max(COMMON_LEAST, COMMON_SHARE * len(texts))
             return {"h": keys[at].view(np.int64), "n": n[at]}
 
@@ -246,7 +317,8 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
 
 
 def copied_blocks(docs: DataFrame) -> DataFrame:
-    """Ranges of windows whose whole block a smaller id has, packed by document."""
+    """Ranges of windows whose whole block a smaller id has, packed."""
+    homes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -297,27 +369,27 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
                 least = np.full(place.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, place, ids[known])
                 lost[known] = ids[known] > least[place]
-            yield _ranges(ids[lost], sums[lost], a[lost], b[lost])
+            yield from _sent(_rows(ids[lost], sums[lost], a[lost], b[lost]), homes)
 
         work.finish = finish
         return work
 
     sent = map_chunks(docs, make, "block binary, _i long, _s long, a long, b long", "_text")
-    return map_chunks(sent.repartition(F.coalesce(F.xxhash64("block"), F.xxhash64("_s", "_i"))), gather, _RANGES, "block", 64 << 20)
+    return map_chunks(sent.repartition(F.coalesce(F.xxhash64("block"), F.xxhash64("_s", "_i"))), gather, _PACKED, "block", 64 << 20)
 
 
 def _fresh(chunk: Chunk, copied: list) -> np.ndarray:
     """Whole windows that are not settled by a copied block."""
     out = chunk.windows()
     for base, blobs in zip(chunk.offsets[:-1].tolist(), copied, strict=True):
-        if blobs:
-            for a, b in _pairs(blobs).tolist():
-                out[base + a : base + b] = False
+        for a, b in _pairs(blobs).tolist():
+            out[base + a : base + b] = False
     return out
 
 
 def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Low halves of the hashes of those anchors that another document has too, packed by document."""
+    """Low halves of the hashes of those anchors that another document has too, packed; a document with a common anchor has
+    one more entry, which stands for none."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(common)
@@ -327,12 +399,15 @@ def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
             chunk = Chunk(batch.column("_text"))
             first, _, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist()))
             rare = ~np.isin(h.view(np.int64), shared.value)
+            often = np.unique(chunk.rows(first[~rare]))
             first, h = first[rare], h[rare]
             row = chunk.rows(first)
             bucket = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             ids, sums = batch.column("_i").to_numpy(), batch.column("_s").to_numpy()
+            if len(often):  # common anchors need no finding, but their documents must be looked at again
+                yield {"bucket": [-1], "body": [np.stack([ids[often], sums[often]]).astype("<i8").tobytes()]}
             low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[b] : cuts[b + 1]]
@@ -345,13 +420,17 @@ def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def gather():
         bodies: list[bytes] = []
 
-        def work(batch: pa.RecordBatch) -> None:
-            bodies.extend(batch.column("body").to_pylist())
-            buckets_ = batch.column("bucket").to_numpy()
-            marks.extend(buckets_.tolist())
-
         marks: list[int] = []
 
+        def work(batch: pa.RecordBatch):
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if bucket < 0:
+                    ids, sums = np.frombuffer(body, "<i8").reshape(2, -1)
+                    yield from _sent(_rows(ids, sums, NO_HASH, NO_HASH), buckets)
+                else:
+                    marks.append(bucket)
+                    bodies.append(body)
+
         def finish():
             if not bodies:
                 return
@@ -372,25 +451,27 @@ def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
             several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
             keep = np.repeat(several, np.diff(np.concatenate([first, [len(low)]])))
             low, place = low[keep] & 0xFFFFFFFF, place[keep]
-            yield _ranges(ids[place], sums[place], low, low)  # a hash twice, so that it packs as a range does
+            yield from _sent(_rows(ids[place], sums[place], low, 0), buckets)  # a hash packs as a range does
 
         work.finish = finish
         return work
 
-    return map_chunks(map_chunks(docs, make, "bucket int, body binary", "_text").repartition(buckets, "bucket"), gather, _RANGES, "body", 64 << 20)
+    return map_chunks(map_chunks(docs, make, "bucket int, body binary", "_text").repartition(buckets, F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket").cast("long"))), gather, _PACKED, "body", 64 << 20)
 
 
 def shared_windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Byte ranges to remove beyond those of copied blocks, packed by document."""
+    """Byte ranges to remove beyond those of copied blocks, packed."""
+    homes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         def work(batch: pa.RecordBatch):
+            batch = batch.filter(batch.column("repeated").is_valid())
             chunk = Chunk(batch.column("_text"))
             first, last, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist()))
             row = chunk.rows(first)
             often = np.isin(h.view(np.int64), shared.value)
-            known = [_pairs(b)[:, 0] | i << 32 for i, b in enumerate(batch.column("repeated").to_pylist()) if b]
+            known = [_pairs(b)[:, 0] | i << 32 for i, b in enumerate(batch.column("repeated").to_pylist())]
             again = np.isin(row << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64), np.concatenate(known)) if known else np.zeros(len(h), bool)
             plain = again & ~often
             runs = last[often] - first[often] + 1  # windows of common anchors go one by one
@@ -414,89 +495,125 @@ def shared_windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
             upto = np.concatenate([[0], np.cumsum(size)])
             body = chunk.data[np.arange(upto[-1]) + np.repeat(a[at] - upto[:-1], size)]
             segs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(upto.astype("<i4").tobytes()), pa.py_buffer(body.tobytes())])
-            yield {"anchor": key[at].view(np.int64), "segment": segs, "_i": own[at], "_s": sums[row[at]], "a": a[at] - base[at], "ranges": pa.nulls(len(at), pa.binary())}
-            gone = _ranges(own[lost], sums[row[lost]], a[lost] - base[lost], b[lost] - base[lost])
-            none = [None] * len(gone["_i"])
-            yield gone | {"anchor": none, "segment": none, "a": none}
+            yield {"anchor": key[at].view(np.int64), "segment": segs, "_i": own[at], "_s": sums[row[at]], "a": a[at] - base[at], "home": pa.nulls(len(at), pa.int32())}
+            for gone in _sent(_rows(own[lost], sums[row[lost]], a[lost] - base[lost], b[lost] - base[lost]), homes):
+                yield {"anchor": [None], "segment": gone["body"], "_i": [None], "_s": [None], "a": [None], "home": gone["home"]}
 
         return work
 
     def meet():
-        held: list[tuple] = []  # the group that is being read
-        ready: list[tuple[dict, list]] = []  # groups of different segments that wait for a suffix array
-        waiting = [0]
-        key = [None]
-        out: list[tuple] = []
-
-        def close():
-            least: dict[bytes, int] = {}
-            for s, i, _, _ in held:
-                if i < least.get(s, 1 << 63):
-                    least[s] = i
-            if len(least) == 1:
-                low = least[held[0][0]]
-                out.extend((i, t, a, a + len(s)) for s, i, t, a in held if i > low)
-            else:
-                ready.append((least, held.copy()))
-                waiting[0] += sum(map(len, least))
-            held.clear()
-
-        def solve():
-            segments = [s for least, _ in ready for s in least]
-            owners = iter(window_owners(segments, [i for least, _ in ready for i in least.values()]))
-            for least, members in ready:
-                own = {s: next(owners) for s in least}
-                for s, i, t, a in members:
-                    lost = own[s] < i
-                    if lost.all():
-                        out.append((i, t, a, a + len(s)))
-                    elif lost.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8)))
-                        out.extend((i, t, a + x, a + y - 1 + LENGTH) for x, y in edge.reshape(-1, 2).tolist())
-            ready.clear()
-            waiting[0] = 0
-
-        def flush():
-            if out:
-                i, t, a, b = zip(*out, strict=True)
-                out.clear()
-                yield _ranges(i, t, a, b)
+        held: list[pa.RecordBatch] = []  # rows of the last anchor, which may go on
 
         def work(batch: pa.RecordBatch):
-            anchors = batch.column("anchor")
-            free = anchors.is_null()
-            if free.true_count:
-                gone = batch.filter(free)
-                yield {c: gone.column(c) for c in ("_i", "_s", "ranges")}
-                batch = batch.filter(free.__class__.from_pandas(~free.to_numpy(zero_copy_only=False)))
-            for anchor, s, i, t, a in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "_i", "_s", "a")), strict=True):
-                if anchor != key[0]:
-                    if held:
-                        close()
-                    if waiting[0] >= ARRAY_BYTES:
-                        solve()
-                    key[0] = anchor
-                held.append((s, i, t, a))
-            if len(out) > 50_000:
-                yield from flush()
+            ready = batch.column("home").is_valid()
+            if ready.true_count:
+                gone = batch.filter(ready)
+                yield {"home": gone.column("home"), "body": gone.column("segment")}
+                batch = batch.filter(pc.invert(ready))
+            if not batch.num_rows:
+                return
+            anchors = batch.column("anchor").to_numpy()
+            if held and held[0].column("anchor")[0].as_py() != anchors[0]:
+                yield from _sent(met(_one(held)), homes)
+                held.clear()
+            last = int(np.searchsorted(anchors, anchors[-1]))
+            if last:
+                yield from _sent(met(_one([*held, batch.slice(0, last)])), homes)
+                held.clear()
+            held.append(batch.slice(last))
 
         def finish():
             if held:
-                close()
-            if ready:
-                solve()
-            yield from flush()
+                yield from _sent(met(_one(held)), homes)
 
         work.finish = finish
         return work
 
-    sent = map_chunks(docs, make, "anchor long, segment binary, _i long, _s long, a long, ranges binary", "_text")
-    dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("_s", "_i"))).sortWithinPartitions("anchor")
-    return map_chunks(dealt, meet, _RANGES, "segment", 64 << 20)
+    sent = map_chunks(docs, make, "anchor long, segment binary, _i long, _s long, a long, home int", "_text")
+    dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("segment"))).sortWithinPartitions("anchor")
+    return map_chunks(dealt, meet, _PACKED, "segment", 8 << 20)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def met(batch: pa.RecordBatch, length: int = LENGTH) -> np.ndarray:
+    """Byte ranges lost among segments that are sorted by anchor, with whole anchors only.
+
+    A segment that a smaller id has too is lost whole.  Of the others, windows whose hash another segment under the anchor
+    has are cut out as pieces, equal pieces count as one, and the suffix array of the pieces tells whose windows are equal.
+    """
+    chunk = Chunk(batch.column("segment"))
+    anchors, ids, sums, at = (batch.column(c).to_numpy() for c in ("anchor", "_i", "_s", "a"))
+    start, end = chunk.offsets[:-1], chunk.offsets[1:]
+    content = chunk.hashes(start, end)
+    order = np.lexsort((ids, content, anchors))
+    first = _firsts(anchors[order], content[order])
+    least = np.zeros(len(ids), np.int64)
+    least[order] = np.repeat(ids[order][first], np.diff(np.concatenate([first, [len(ids)]])))
+    whole = ids > least
+    out = [_rows(ids[whole], sums[whole], at[whole], at[whole] + (end - start)[whole])]
+
+    kinds = _firsts(anchors[order][first])  # anchors with one content have no more to tell
+    several = np.repeat(np.diff(np.concatenate([kinds, [len(first)]])) > 1, np.diff(np.concatenate([first[kinds], [len(ids)]])))
+    rest = np.zeros(len(ids), bool)
+    rest[order] = several
+    rest = np.flatnonzero(rest & ~whole)
+    size = (end - start)[rest] - length + 1
+    row = np.repeat(rest, size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[row]
+    h = chunk.grams(length)[place] if len(place) else np.zeros(0, np.uint64)
+    by_hash = np.argsort(h, kind="stable")
+    runs = _firsts(h[by_hash])
+    again = np.zeros(len(h), bool)
+    differs = np.zeros(0, bool)
+    if len(h):
+        own = ids[row[by_hash]]
+        differs = np.minimum.reduceat(own, runs) < np.maximum.reduceat(own, runs)
+        again[by_hash] = np.repeat(differs, np.diff(np.concatenate([runs, [len(h)]])))
+    row, place = row[again], place[again]
+    if not len(row):
+        return out[0]
+    piece = np.ones(len(row), bool)
+    piece[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    piece = np.flatnonzero(piece)
+    windows = np.diff(np.concatenate([piece, [len(row)]]))
+    a, owner = place[piece], row[piece]
+    b = a + windows - 1 + length
+    _, one, which = np.unique(chunk.hashes(a, b), return_index=True, return_inverse=True)
+    holder = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(holder, which, ids[owner])
+    found: list[np.ndarray | None] = [None] * len(one)
+    # pieces with a window in common have its anchor in common, so whole anchors go into one array
+    todo = np.argsort(anchors[owner[one]], kind="stable")
+    bounds = np.concatenate([_firsts(anchors[owner[one]][todo]), [len(todo)]]).tolist()
+    ready: list[int] = []
+    bytes_ = 0
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        ready += todo[x:y].tolist()
+        bytes_ += int((b - a)[one[todo[x:y]]].sum())
+        if bytes_ >= ARRAY_BYTES or y == bounds[-1]:
+            texts = [chunk.data[a[one[k]] : b[one[k]]].tobytes() for k in ready]
+            for k, owners in zip(ready, window_owners(texts, [int(holder[k]) for k in ready], length), strict=True):
+                found[k] = owners
+            ready, bytes_ = [], 0
+    flat = np.concatenate(found)
+    upto = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    least = flat[np.arange(len(row)) + np.repeat(upto[which] - piece, windows)]
+    lost = np.flatnonzero(least < ids[row])
+    row, place = row[lost], place[lost]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    new = np.flatnonzero(new)
+    stop = np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1
+    who = row[new]
+    shift = at[who] - start[who]
+    return np.concatenate([*out, _rows(ids[who], sums[who], place[new] + shift, place[stop] + length + shift)])
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row with ``_id``, ``_text`` and the lists ``copied`` (window ranges) and ``lost`` (byte ranges)."""
+    """Every row with ``_id``, ``_text`` and, packed, ``copied`` (window ranges) and ``lost`` (byte ranges)."""
     every = docs.select(F.col(id).cast("long").alias("_id"), whole_text(text).alias("_text")).withColumn("_sum", F.xxhash64("_text"))
     rows = every.filter("_id is not null").select(F.col("_id").alias("_i"), F.col("_sum").alias("_s"), "_text")
     common = common_anchors(rows)
@@ -506,7 +623,7 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     second = first.join(repeated, ["_i", "_s"], "left")
     lost = _gathered(shared_windows(second, common), "lost")
     last = rows.join(copied, ["_i", "_s"], "left").join(lost, ["_i", "_s"], "left").select(F.col("_i").alias("_id"), "_text", "copied", "lost")
-    nothing = F.lit(None).cast("array<binary>")
+    nothing = F.lit(None).cast("binary")
     return last.unionByName(every.filter("_id is null").select("_id", "_text", nothing.alias("copied"), nothing.alias("lost")))
 
 
