@@ -31,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import LOWER, Words, joined_bytes, map_chunks, whole_text
+from .batches import LOWER, Words, joined_bytes, map_chunks, mixed, whole_text
 from .shared import cut
 
 ORDER, END, ALPHABET = 5, 0xFF, 256
 BLOCK = 4_000_000
 #: Words that are counted apart: so many at most, each with at least this share of some chunk's words.
 COMMON_WORDS, COMMON_SHARE = 4096, 1 / 4096
+#: Bytes of text at once: every byte becomes several 64-bit numbers.
+TEXT_BYTES = 2 << 20
+_PART = np.dtype([("key", "<i8"), ("s", "<f8"), ("n", "<i8")])
 
 
 class Trie:
@@ -160,7 +163,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
         work.finish = finish
         return work
 
-    made = map_chunks(docs, make, "event long, common long, n long", "_text")
+    made = map_chunks(docs, make, "event long, common long, n long", "_text", TEXT_BYTES)
     return made.groupBy("event", "common").agg(F.sum("n").alias("n"))
 
 
@@ -225,9 +228,9 @@ def event_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def base_parts(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """What the base score needs, by row key: ``rows`` with the key, their ``known`` words and the sum ``s`` of
-    log10(count + 0.1), without common words and ends; with a null key: ``total`` training tokens and ``distinct`` ones
-    (common words too), and for each common word, by its place, its training count."""
+    """What the base score needs.  Rows with ``body``: for each row key that hashes to ``home``, packed, the known words and
+    the sum of log10(count + 0.1) over some of its words, without common words and ends.  Rows with ``place``: the training
+    tokens (-1), the distinct ones (-2), and, by its place, the training count of each common word."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(np.sort(common))
@@ -269,7 +272,7 @@ def base_parts(docs: DataFrame, common: np.ndarray) -> DataFrame:
         work.finish = finish
         return work
 
-    dealt = map_chunks(docs, deal_out, "bucket int, body binary, place int, n long", "_text").repartition(buckets, "bucket", "place")
+    dealt = map_chunks(docs, deal_out, "bucket int, body binary, place int, n long", "_text", TEXT_BYTES).repartition(buckets, "bucket", "place")
 
     def gather():
         bodies: list[bytes] = []
@@ -284,7 +287,7 @@ def base_parts(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
         def finish():
             if plain:
-                yield {"_key": [None] * len(plain), "place": [p for p, _ in plain], "s": [0.0] * len(plain), "n": [n for _, n in plain]}
+                yield {"home": [None] * len(plain), "body": [None] * len(plain), "place": [p for p, _ in plain], "n": [n for _, n in plain]}
             if not bodies:
                 return
             keys, train, h, row, n, base = [], [], [], [], [], 0
@@ -308,13 +311,51 @@ def base_parts(docs: DataFrame, common: np.ndarray) -> DataFrame:
             s = np.bincount(row, n * np.log10(c[at] + 0.1), len(keys))
             some = np.bincount(row, n * known, len(keys)).astype(np.int64)
             own, place = np.unique(keys, return_inverse=True)
-            yield {"_key": own, "place": [None] * len(own), "s": np.bincount(place, s, len(own)), "n": np.bincount(place, some, len(own)).astype(np.int64)}
-            yield {"_key": [None], "place": [-2], "s": [0.0], "n": [int((c > 0).sum())]}
+            packed = np.zeros(len(own), _PART)
+            packed["key"], packed["s"], packed["n"] = own, np.bincount(place, s, len(own)), np.bincount(place, some, len(own))
+            home = (mixed(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                yield {"home": [b], "body": [packed[order[cuts[b] : cuts[b + 1]]].tobytes()], "place": [None], "n": [None]}
+            yield {"home": [None], "body": [None], "place": [-2], "n": [int((c > 0).sum())]}
+
+        work.finish = finish
+        return work
+
+    return map_chunks(dealt, gather, "home int, body binary, place int, n long", "body", 64 << 20)
+
+
+def summed_parts(parts: DataFrame) -> DataFrame:
+    """``_rare`` (a row key) with its sum ``_s`` and its known words ``_known``."""
+    buckets = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def make():
+        held: list[np.ndarray] = []
+
+        def work(batch: pa.RecordBatch) -> None:
+            held.extend(np.frombuffer(x, _PART) for x in batch.column("body").to_pylist())
+            if len(held) > 64:
+                held[:] = [_added(held)]
+
+        def finish():
+            if held:
+                out = _added(held)
+                yield {"_rare": out["key"], "_s": out["s"], "_known": out["n"]}
 
         work.finish = finish
         return work
 
-    return map_chunks(dealt, gather, "_key long, place int, s double, n long", "body", 64 << 20)
+    bodies = parts.filter("body is not null").select("home", "body").repartition(buckets, "home")
+    return map_chunks(bodies, make, "_rare long, _s double, _known long", "body", 64 << 20)
+
+
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    every = np.concatenate(parts)
+    keys, at = np.unique(every["key"], return_inverse=True)
+    out = np.zeros(len(keys), _PART)
+    out["key"], out["s"], out["n"] = keys, np.bincount(at, every["s"], len(keys)), np.bincount(at, every["n"], len(keys))
+    return out
 
 
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, block: int = BLOCK) -> DataFrame:
@@ -333,7 +374,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     table = cut(table)
 
     parts = cut(base_parts(keyed.select("_key", "_text", "_held"), common))
-    sums = parts.filter("_key is null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COMMON_WORDS + 2 rows at most
+    sums = parts.filter("place is not null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COMMON_WORDS + 2 rows at most
     sums = dict(zip(*(sums.column(c).to_pylist() for c in ("place", "n")), strict=True))
     word_counts = np.array([sums.get(i, 0) for i in range(len(common))], np.int64)
 
@@ -377,7 +418,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
             return work
 
         kind = keyed.schema["_id"].dataType.simpleString()
-        return map_chunks(keyed, make, f"_id {kind}, _held boolean, _key long, score double, n long, s double, known long", "_text")
+        return map_chunks(keyed, make, f"_id {kind}, _held boolean, _key long, score double, n long, s double, known long", "_text", TEXT_BYTES)
 
     every = one_pass(0)
     for number in range(1, blocks):
@@ -392,7 +433,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     distinct = sums.get(-2, 0) + int((word_counts > 0).sum()) + (facts["ends"] > 0)
     share = math.log10(facts["n"] + 0.1 * (distinct + 1))
     copies = every.groupBy("_key").agg(F.count("*").alias("_rows"))
-    rare = parts.filter("_key is not null").groupBy(F.col("_key").alias("_rare")).agg(F.sum("s").alias("_s"), F.sum("n").alias("_known"))
+    rare = summed_parts(parts)
     rare = rare.join(copies, F.col("_rare") == F.col("_key")).select("_rare", (F.col("_s") / F.col("_rows")).alias("_s"), (F.col("_known") / F.col("_rows")).cast("long").alias("_known"))
     joined = every.join(rare, F.col("_key") == F.col("_rare"), "left")
     end = math.log10(facts["ends"] + 0.1)
