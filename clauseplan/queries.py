@@ -221,6 +221,19 @@ add("f_times", "Out(e:, u: UnixDate(Date(t)), m: ToString(TimestampTrunc(t, \"MO
 add("f_points", "Out(k:, km: Round(StDistance(StGeogpoint(k, 10), StGeogpoint(0, 10)) / 1000, 3)) :- nation(n_nationkey: k);",
     "SELECT n_nationkey AS k, round(2 * 6371.010 * asin(sqrt(pow(cos(radians(10)), 2) * pow(sin(radians(n_nationkey) / 2), 2))), 3) AS km FROM nation")
 
+# The same features over whole tables
+add("f_times_whole", "Out(e:, u: UnixDate(Date(t)), m: Substr(ToString(TimestampTrunc(t, \"MONTH\")), 1, 10)) :- events(event_id: e, ts: t);",
+    "SELECT event_id AS e, date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS u, strftime(date_trunc('month', ts), '%Y-%m-%d') AS m FROM events")
+add("j12_interval_overlap_whole", """Span(kind:, lo? Min= Substr(ToString(t), 1, 19), hi? Max= Substr(ToString(t), 1, 19)) distinct :- events(event_type: kind, ts: t); Out(a:, b:) :- Span(kind: a, lo: s1, hi: e1), Span(kind: b, lo: s2, hi: e2), s1 <= e2 && s2 <= e1, a < b;""",
+    "WITH s AS (SELECT event_type AS kind, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1) SELECT x.kind AS a, y.kind AS b FROM s x, s y WHERE x.lo <= y.hi AND y.lo <= x.hi AND x.kind < y.kind")
+add("a20_braces_whole", "Out(name:, best: Max{p :- orders(o_custkey: k, o_totalprice: p)}) :- customer(c_custkey: k, c_name: name);", "SELECT c_name AS name, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer")
+LINK = "Edge(a:, b:) :- supplier(s_suppkey: a), b == a * 2; Edge(a:, b:) :- supplier(s_suppkey: a), b == a * 3; "
+LINK_SQL = "edge AS (SELECT s_suppkey AS a, s_suppkey * 2 AS b FROM supplier UNION ALL SELECT s_suppkey, s_suppkey * 3 FROM supplier)"
+add("r1_closure_bag_whole", LINK + "@Recursive(Out, 4); Out(a:, b:) :- Edge(a:, b:); Out(a:, b:) :- Out(a:, b: m), Edge(a: m, b:);", f"WITH RECURSIVE {LINK_SQL}, r AS (SELECT a, b, 0 AS lvl FROM edge UNION ALL SELECT r.a, edge.b, lvl + 1 FROM r JOIN edge ON r.b = edge.a WHERE lvl < 4) SELECT a, b FROM r")
+add("r1_closure_distinct_whole", LINK + "@Recursive(Out, -1); Out(a:, b:) distinct :- Edge(a:, b:); Out(a:, b:) distinct :- Out(a:, b: m), Edge(a: m, b:);", f"WITH RECURSIVE {LINK_SQL}, r AS (SELECT a, b FROM edge UNION SELECT r.a, edge.b FROM r JOIN edge ON r.b = edge.a) SELECT a, b FROM r")
+add("r7_shortest_path_whole", LINK + "@Recursive(Path, -1); Path(b:, d? Min= 0) distinct :- Edge(a: 1, b: x), b == 1; Path(b:, d? Min= e + 1) distinct :- Path(b: m, d: e), Edge(a: m, b:); Out(b:, d:) :- Path(b:, d:);",
+    f"WITH RECURSIVE {LINK_SQL}, r AS (SELECT 1::BIGINT AS b, 0 AS d UNION SELECT edge.b, r.d + 1 FROM r JOIN edge ON r.b = edge.a) SELECT b, min(d) AS d FROM r GROUP BY 1")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
