@@ -63,6 +63,8 @@ class Program:
         limit: dict[str, int] = {}
         ground: dict[str, dict] = {}
         recursive: dict[str, dict] = {}
+        attached: dict[str, str] = {}
+        shared: set[str] = set()
         self.database = None
         for s in self.statements:
             if isinstance(s, Rule):
@@ -86,13 +88,18 @@ class Program:
                 elif s.name == "Dataset":
                     self.database = values[0].value
                 elif s.name == "AttachDatabase":
-                    self.spark.conf.get("spark.sql.catalogImplementation")  # databases are catalogs of the session
+                    if len(values) != 2 or not isinstance(values[1], Lit):
+                        raise ParseError(f"@AttachDatabase takes a name and a path or JDBC address: {s.text}")
+                    attached[values[0].name if isinstance(values[0], PredRef) else str(getattr(values[0], "value", getattr(values[0], "name", "")))] = values[1].value
+                elif s.name == "With":
+                    shared.add(_target(s))
         for name, how in ground.items():
-            if how.get("table") in rules:
-                how.pop("table")
-            elif how.get("table") and self.database and "." not in how["table"]:
+            if how.get("table") in ground:  # another grounded predicate stands for its table
+                how["table"] = ground[how["table"]].get("table") or how["table"].lower()
+            if how.get("table") and self.database and "." not in how["table"]:
                 how["table"] = f"{self.database}.{how['table']}"
         self.planner = Planner(self.spark, dict(rules), self.tables, order, limit, ground, recursive, unsafe)
+        self.planner.attached, self.planner.shared = attached, shared
 
     @property
     def predicates(self) -> list[str]:

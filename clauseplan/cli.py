@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import sys
 from pathlib import Path
 
@@ -12,7 +13,6 @@ from .api import Program, check, parse
 from .errors import RuleError
 from .sources.introspect import table_rules
 
-SHOWN = 1000
 
 
 def _session() -> SparkSession:
@@ -21,9 +21,21 @@ def _session() -> SparkSession:
     return spark
 
 
-def shown(df: DataFrame, csv: bool) -> str:
-    rows = df.limit(SHOWN).toPandas()
-    return rows.to_csv(index=False) if csv else rows.to_string(index=False)
+def show(df: DataFrame, as_csv: bool) -> None:
+    """Print every row, as it arrives: one partition is on the driver at a time.  The number of rows goes to standard error."""
+    out = csv.writer(sys.stdout, lineterminator="\n") if as_csv else None
+    line = out.writerow if out else lambda row: print("\t".join(map(_cell, row)))
+    line(df.columns)
+    n = 0
+    for row in df.toLocalIterator():
+        line(row)
+        n += 1
+    sys.stdout.flush()
+    print(f"{n} row{'s' * (n != 1)}", file=sys.stderr)
+
+
+def _cell(value: object) -> str:
+    return "" if value is None else str(value)
 
 
 def repl(spark: SparkSession, source: str = "") -> None:
@@ -45,7 +57,7 @@ def repl(spark: SparkSession, source: str = "") -> None:
             elif command == ".list":
                 print("\n".join(Program(source, spark, tables).predicates))
             elif command.startswith("?"):
-                print(shown(Program(source, spark, tables).run(command[1:].strip(" ;")), False))
+                show(Program(source, spark, tables).run(command[1:].strip(" ;")), False)
             elif command:
                 held += line + "\n"
                 if command.endswith(";"):
@@ -100,7 +112,7 @@ def main(argv: list[str] | None = None) -> int:
             program.load(*x.split("=", 1))
         for name in args.predicate or program.run_all():
             df = program.run(name, args.limit, args.offset) if args.command == "run" else program.search(name, args.pattern, args.limit, args.offset)
-            print(shown(df, args.csv))
+            show(df, args.csv)
         return 0
     except RuleError as e:
         print(e, file=sys.stderr)

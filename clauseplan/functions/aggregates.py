@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import PlanError
+from . import places
 
 _ALIASES = {"+": "Sum", "++": "MergeList", "*": "Product", "1": "Min", "ISum": "Sum", "SomeValue": "AnyValue", "Aggr": "AnyValue", "Countif": "CountIf", "ArrayConcatAgg": "MergeList", "ArrayAgg": "List", "ExactCount": "Count"}
 
@@ -49,6 +51,15 @@ def text_of(x: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, lambda v: v.cast("string")), ","))
 
 
+def top_sum(pair: Column, n: Column) -> Column:
+    """The ``n`` items with the largest sums of their weights, as ``{value, sum}``, from ``item -> weight``."""
+    rows = F.collect_list(F.struct(pair["arg"].alias("item"), pair["value"].cast("double").alias("weight")))
+    items = F.array_distinct(F.transform(rows, lambda r: r["item"]))
+    sums = F.transform(items, lambda i: F.struct(F.aggregate(F.filter(rows, lambda r: r["item"].eqNullSafe(i)), F.lit(0.0), lambda s, r: s + F.coalesce(r["weight"], F.lit(0.0))).alias("sum"), i.alias("value")))
+    best = F.slice(F.sort_array(sums, asc=False), F.lit(1), n.cast("int"))
+    return F.transform(best, lambda s: F.struct(s["value"].alias("value"), s["sum"].alias("sum")))
+
+
 AGGREGATES: dict[str, Callable[..., Column]] = {
     "Sum": F.sum, "Min": F.min, "Max": F.max, "Avg": F.avg, "Count": F.count_distinct, "List": as_list, "Set": as_set, "Array": ordered,
     "MergeList": lambda x: F.when(F.count(x) > 0, F.flatten(F.collect_list(x))), "ArgMax": lambda p: best(p, True), "ArgMin": lambda p: best(p, False),
@@ -58,6 +69,7 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "PercentileCont": lambda x, p: F.call_function("percentile", x, p), "PercentileDisc": lambda x, p: F.call_function("percentile_approx", x, p), "Corr": lambda p: F.corr(p["arg"], p["value"]), "CovarPop": lambda p: F.covar_pop(p["arg"], p["value"]),
     "CovarSamp": lambda p: F.covar_samp(p["arg"], p["value"]), "BitAnd": F.bit_and, "BitOr": F.bit_or, "BitXor": F.bit_xor, "StddevPop": F.stddev_pop, "StddevSamp": F.stddev_samp, "VarPop": F.var_pop, "VarSamp": F.var_samp,
     "HllCountInit": lambda x: F.hll_sketch_agg(x), "HllCountMerge": lambda x: F.hll_sketch_estimate(F.hll_union_agg(x)), "HllCountMergePartial": lambda x: F.hll_union_agg(x),
+    "ApproxTopSum": lambda p, n: top_sum(p, n), "StCentroidAgg": lambda g: places.point(F.avg(places.first(g)["x"]), F.avg(places.first(g)["y"])),
     "ApproxTopCount": lambda x, n: F.call_function("approx_top_k", x, n.cast("int")),
 }
 
@@ -69,6 +81,9 @@ def named(op: str) -> str | None:
 
 
 def call(op: str, values: list[Column]) -> Column:
-    return AGGREGATES[named(op)](*values)
+    try:
+        return AGGREGATES[named(op)](*values)
+    except TypeError as e:
+        raise PlanError(f"{op} can't take {len(values)} arguments") from e
 
 

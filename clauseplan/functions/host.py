@@ -56,8 +56,6 @@ def host_functions() -> dict[str, Callable[..., Column]]:
         "NetIpToString": _each("string", lambda b: str(ipaddress.ip_address(bytes(b)))),
         "NetFormatPackedIp": _each("string", lambda b: str(ipaddress.ip_address(bytes(b)))),
         "NetParsePackedIp": _each("binary", lambda s: ipaddress.ip_address(s).packed),
-        "NetFormatIp": _each("string", lambda n: str(ipaddress.IPv4Address(int(n)))),
-        "NetParseIp": _each("long", lambda s: int(ipaddress.IPv4Address(s))),
         "NetIpTrunc": _each("binary", lambda b, n: _cut(bytes(b), int(n))),
         "NetIpNetMask": _each("binary", lambda size, n: _mask(int(size), int(n))),
         "NetIpInNet": _each("boolean", lambda a, n: ipaddress.ip_address(a) in ipaddress.ip_network(n, strict=False)),
@@ -66,7 +64,7 @@ def host_functions() -> dict[str, Callable[..., Column]]:
 
 
 NAMES = frozenset(
-    "FromBase32 ToBase32 CodePointsToBytes Normalize NormalizeAndCasefold NetIpFromString NetSafeIpFromString NetIpToString NetFormatPackedIp NetParsePackedIp NetFormatIp NetParseIp NetIpTrunc NetIpNetMask NetIpInNet NetMakeNet".split()
+    "FromBase32 ToBase32 CodePointsToBytes Normalize NormalizeAndCasefold NetIpFromString NetSafeIpFromString NetIpToString NetFormatPackedIp NetParsePackedIp NetIpTrunc NetIpNetMask NetIpInNet NetMakeNet".split()
 )
 _MADE: dict[str, Callable[..., Column]] = {}
 

@@ -105,6 +105,100 @@ def json(g: Column) -> Column:
     return F.concat(F.lit('{"type": "'), kind, F.lit('", "coordinates": '), shape, F.lit("}"))
 
 
+def from_json(s: Column) -> Column:
+    """A geography from the text of a GeoJSON geometry: point, line, or polygon of one ring."""
+    kind = F.upper(F.get_json_object(s, "$.type"))
+    pairs = F.regexp_extract_all(F.get_json_object(s, "$.coordinates"), F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(0))
+    numbers = F.transform(pairs, lambda t: F.split(F.regexp_replace(t, r"[\[\s]", ""), ","))
+    return F.struct(kind.alias("kind"), F.transform(numbers, lambda t: _pair(t[0], t[1])).alias("points"))
+
+
+#: Fixed value: the digits of geohashes.
+GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def _bits(x: Column, low: float, high: float) -> Column:
+    """Thirty halvings of a range as a number."""
+    cell = F.floor((x - low) / (high - low) * (1 << 30))
+    return F.greatest(F.least(cell, F.lit((1 << 30) - 1)), F.lit(0)).cast("long")
+
+
+def geohash(g: Column, size: Column | None = None) -> Column:
+    """The geohash of a point, of 12 digits or ``size``."""
+    lon, lat = _bits(first(g)["x"], -180, 180), _bits(first(g)["y"], -90, 90)
+
+    def digit(i: Column) -> Column:
+        def bit(k: Column) -> Column:  # longitude and latitude take turns
+            at = i * 5 + k
+            return F.call_function("shiftright", F.when(at % 2 == 0, lon).otherwise(lat), (29 - F.floor(at / 2)).cast("int")).bitwiseAND(F.lit(1))
+
+        value = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0).cast("long"), lambda acc, k: acc * 2 + bit(k))
+        return F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1))
+
+    whole = F.when(lon.isNotNull() & lat.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), digit), ""))
+    return whole if size is None else F.substr(whole, F.lit(1), size.cast("int"))
+
+
+def from_geohash(s: Column) -> Column:
+    """The middle of a geohash's cell."""
+    digits = F.transform(F.filter(F.split(F.lower(s), ""), lambda c: c != ""), lambda c: F.instr(F.lit(GEOHASH), c) - 1)
+    bits = F.flatten(F.transform(digits, lambda d: F.array(*[F.shiftright(d, k).bitwiseAND(F.lit(1)) for k in (4, 3, 2, 1, 0)])))
+
+    def middle(start: int, low: float, high: float) -> Column:
+        own = F.filter(bits, lambda b, i: i % 2 == start)
+        empty = F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+        half = lambda r: (r["low"] + r["high"]) / 2
+        cell = F.aggregate(own, empty, lambda r, b: F.struct(F.when(b == 1, half(r)).otherwise(r["low"]).alias("low"), F.when(b == 1, r["high"]).otherwise(half(r)).alias("high")))
+        return half(cell)
+
+    return point(middle(0, -180, 180), middle(1, -90, 90))
+
+
+def edges(g: Column) -> Column:
+    """The straight pieces of a line or ring, as arrays of two points; a ring's last piece leads back to its first point."""
+    p, n = g["points"], F.size(g["points"])
+    ends = F.when(g["kind"] == "POLYGON", n).otherwise(n - 1)
+    made = F.transform(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda i: F.array(F.try_element_at(p, i), F.try_element_at(p, F.when(i == n, 1).otherwise(i + 1))))
+    return F.when(ends >= 1, made).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+
+
+def _side(a: Column, b: Column, q: Column) -> Column:
+    return F.signum((b["x"] - a["x"]) * (q["y"] - a["y"]) - (b["y"] - a["y"]) * (q["x"] - a["x"]))
+
+
+def _on(a: Column, b: Column, q: Column) -> Column:
+    """Whether a point lies on a straight piece (in degrees)."""
+    return (_side(a, b, q) == 0) & q["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & q["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+
+def cross(g: Column, h: Column, proper: bool = False) -> Column:
+    """Whether pieces of two geographies meet; with ``proper``, whether they cross inside both."""
+
+    def meet(e: Column, f: Column) -> Column:
+        a, b, c, d = e[0], e[1], f[0], f[1]
+        inside = (_side(a, b, c) * _side(a, b, d) < 0) & (_side(c, d, a) * _side(c, d, b) < 0)
+        return inside if proper else inside | _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
+
+    return F.exists(edges(g), lambda e: F.exists(edges(h), lambda f: meet(e, f)))
+
+
+def on_edge(g: Column, h: Column) -> Column:
+    """Whether a point of ``h`` lies on a piece of ``g``."""
+    return F.exists(h["points"], lambda q: F.exists(edges(g), lambda e: _on(e[0], e[1], q)))
+
+
+def intersects(a: Column, b: Column) -> Column:
+    return contains(a, b) | contains(b, a) | F.arrays_overlap(a["points"], b["points"]) | cross(a, b) | on_edge(a, b) | on_edge(b, a)
+
+
+def touches(a: Column, b: Column) -> Column:
+    """They meet, but only at their borders: nothing crosses, and no ring holds a point of the other inside."""
+    def strictly(g: Column, h: Column) -> Column:
+        return F.when(g["kind"] == "POLYGON", F.exists(h["points"], lambda q: contains(g, _shape("POINT", F.array(q))) & ~F.exists(edges(g), lambda e: _on(e[0], e[1], q)))).otherwise(F.lit(False))
+
+    return intersects(a, b) & ~cross(a, b, proper=True) & ~strictly(a, b) & ~strictly(b, a) & ~((a["kind"] == "POINT") & (b["kind"] == "POINT"))
+
+
 def _mean(g: Column, axis: str) -> Column:
     return F.aggregate(F.transform(g["points"], lambda q: q[axis]), F.lit(0.0), lambda acc, x: acc + x) / F.size(g["points"])
 
@@ -116,7 +210,8 @@ def _snap(g: Column, size: Column) -> Column:
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "StGeogpoint": point, "StX": lambda g: first(g)["x"], "StY": lambda g: first(g)["y"], "StDistance": distance, "StDwithin": lambda a, b, d: distance(a, b) <= d, "StMaxdistance": lambda a, b: F.array_max(F.flatten(F.transform(a["points"], lambda p: F.transform(b["points"], lambda q: apart(p, q))))),
     "StLength": length, "StPerimeter": perimeter, "StArea": area, "StContains": contains, "StCovers": contains, "StWithin": lambda a, b: contains(b, a), "StCoveredby": lambda a, b: contains(b, a), "StEquals": lambda a, b: a == b,
-    "StIntersects": lambda a, b: contains(a, b) | contains(b, a) | F.arrays_overlap(a["points"], b["points"]), "StDisjoint": lambda a, b: ~(contains(a, b) | contains(b, a) | F.arrays_overlap(a["points"], b["points"])),
+    "StIntersects": intersects, "StDisjoint": lambda a, b: ~intersects(a, b), "StTouches": touches, "StIsempty": lambda g: F.size(g["points"]) == 0,
+    "StGeogfromgeojson": from_json, "StGeohash": geohash, "StGeogpointfromgeohash": from_geohash,
     "StAstext": text, "StGeogfromtext": from_text, "StAsgeojson": json, "StNumpoints": lambda g: F.size(g["points"]).cast("long"), "StIscollection": lambda g: F.lit(False), "StDimension": lambda g: F.when(g["kind"] == "POINT", 0).when(g["kind"] == "LINESTRING", 1).otherwise(2).cast("long"),
     "StMakeline": lambda a, b: _shape("LINESTRING", F.concat(a["points"], b["points"])), "StMakepolygon": lambda g: _shape("POLYGON", g["points"]), "StMakepolygonoriented": lambda g: _shape("POLYGON", g["points"]),
     "StBoundary": lambda g: _shape("LINESTRING", g["points"]), "StCentroid": lambda g: point(_mean(g, "x"), _mean(g, "y")), "StSnaptogrid": _snap,

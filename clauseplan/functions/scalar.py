@@ -40,8 +40,8 @@ def to_text(x: Column, kind: T.DataType) -> Column:
     if not isinstance(kind, T.DoubleType | T.FloatType):
         return x.cast("string")
     size, plain = F.abs(x), x.cast("string")
-    wide = F.concat(F.format_string("%.0f", x), F.lit(".0"))
-    small = F.regexp_replace(F.format_string("%.20f", x), "0+$", "")
+    wide = F.regexp_replace(F.regexp_replace(plain.cast("decimal(30,10)").cast("string"), "0+$", ""), r"\.$", ".0")
+    small = F.regexp_replace(plain.cast("decimal(38,30)").cast("string"), "0+$", "")
     power = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(-?)", "e$1")
     power = F.regexp_replace(F.regexp_replace(power, r"e-(\d)$", "e-0$1"), r"e(\d+)$", "e+$1")
     return F.when(size.isNull() | F.isnan(x) | (size == 0), plain).when((size >= 1e7) & (size < 1e16), wide).when((size < 1e-3) & (size >= 1e-4), small).when((size >= 1e16) | (size < 1e-4), power).otherwise(plain)
@@ -88,6 +88,77 @@ def kind_named(name: str) -> str:
     raise PlanError(f"no type is called {name!r}")
 
 
+#: The parts of a time that times are moved and compared by.
+UNITS = ("MICROSECOND", "MILLISECOND", "SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR")
+
+
+def unit_named(part: object) -> str:
+    if str(part).upper() not in UNITS:
+        raise PlanError(f"{part!r} is no part of a time; there are {', '.join(UNITS)}")
+    return str(part).upper()
+
+
+def moved(t: Column, n: Column, part: object, kind: str) -> Column:
+    """``n`` whole units later."""
+    return F.timestamp_add(unit_named(part), n.cast("int"), t.cast(kind))
+
+
+def crossed(a: Column, b: Column, part: object) -> Column:
+    """How many starts of a unit lie between two times, negative where ``a`` is the earlier."""
+    a, b = (F.date_trunc(unit_named(part), x.cast("timestamp_ntz")) for x in (a, b))
+    return F.timestamp_diff(unit_named(part), b, a)
+
+
+def seconds(s: Column) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))
+
+
+def time_text(t: Column) -> Column:
+    """A moment's time of day, which is a text here: Spark's type for it is switched off by default."""
+    return F.regexp_replace(F.date_format(t, "HH:mm:ss.SSSSSS"), r"\.0+$|(?<=\.\d{1,5})0+$", "")
+
+
+def on_a_day(t: Column) -> Column:
+    """A time of day as a moment that ``date_format`` takes."""
+    return F.concat(F.lit("1970-01-01 "), t.cast("string")).cast("timestamp_ntz")
+
+
+#: Second-level labels under which country registries hand out names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
+
+
+def host_of(url: Column) -> Column:
+    return F.parse_url(url, F.lit("HOST"))
+
+
+def suffix_of(url: Column, more: int) -> Column:
+    """The last label of a host, or the last two where the last has two letters and the one before is a usual second level;
+    ``more`` labels before it.  Null where the host has fewer labels."""
+    parts = F.split(F.lower(host_of(url)), r"\.")
+    two = (F.length(F.element_at(parts, -1)) == 2) & F.coalesce(F.try_element_at(parts, F.lit(-2)).isin(*SECOND_LEVEL), F.lit(False))
+    n = F.when(two, 2).otherwise(1) + more
+    return F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), "."))
+
+
+def dotted(n: Column) -> Column:
+    """An address of four bytes from its number."""
+    return F.when(n.isNotNull(), F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))
+
+
+def undotted(s: Column) -> Column:
+    return F.aggregate(F.split(s, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
+
+
+def dissembled(record: Column) -> Column:
+    """A record's fields as pairs ``{arg, value}`` of texts."""
+    return F.transform(F.map_entries(F.from_json(F.to_json(record), "map<string,string>")), lambda e: F.struct(e["key"].alias("arg"), e["value"].alias("value")))
+
+
+def assembled(pairs: Column) -> Column:
+    """The JSON text of a record from pairs ``{arg, value}``."""
+    return F.to_json(F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["arg"], p["value"]))))
+
+
 OPERATORS: dict[str, Callable[..., Column]] = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divide, "%": lambda a, b: a % b,
     "^": lambda a, b: F.pow(a.cast("double"), b.cast("double")), "++": F.concat, "++?": F.concat,
@@ -137,7 +208,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "DateAddDay": lambda d, n: F.date_add(d.cast("date"), n.cast("int")), "DateSub": lambda d, n: F.date_sub(d.cast("date"), n.cast("int")), "DateAdd": lambda d, n: F.date_add(d.cast("date"), n.cast("int")),
     "DateDiffDay": lambda a, b: F.datediff(a.cast("date"), b.cast("date")).cast("long"), "DateDiff": lambda a, b: F.datediff(a.cast("date"), b.cast("date")).cast("long"),
     "TimestampAddDays": lambda t, n: t.cast("timestamp_ntz") + _interval(n), "CurrentTimestamp": F.current_timestamp, "CurrentDate": F.current_date, "CurrentDatetime": F.localtimestamp,
-    "TimeAdd": lambda t, s: t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)")), "Epoch": lambda t: F.unix_micros(t.cast("timestamp")) / 1000000.0,
+    "TimeAdd": lambda t, s: t + seconds(s), "TimeSub": lambda t, s: t - seconds(s), "ParseTime": lambda f, s: time_text(F.call_function("to_timestamp_ntz", s, f)), "FormatTime": lambda f, t: F.call_function("date_format", on_a_day(t), f), "CurrentTime": lambda: time_text(F.localtimestamp()), "Epoch": lambda t: F.unix_micros(t.cast("timestamp")) / 1000000.0,
     "TimeDiffSeconds": lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1000000.0, "ToTime": lambda x: x.cast("timestamp"),
     "Date": lambda x: x.cast("date"), "Datetime": lambda x: x.cast("timestamp_ntz"), "Timestamp": lambda x: x.cast("timestamp"), "DateTrunc": lambda d, p: F.call_function("trunc", d, p),
     "TimestampTrunc": lambda t, p: F.call_function("date_trunc", p, t), "DatetimeTrunc": lambda t, p: F.call_function("date_trunc", p, t), "ParseDate": lambda f, s: F.call_function("to_date", s, f), "ParseTimestamp": lambda f, s: F.call_function("to_timestamp", s, f),
@@ -145,13 +216,16 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "TimestampFromUnixMicros": F.timestamp_micros, "TimestampFromUnixMillis": F.timestamp_millis, "TimestampFromUnixSeconds": F.timestamp_seconds,
     # records and JSON
     "JsonExtract": lambda j, p: F.call_function("get_json_object", j, p), "JsonExtractScalar": lambda j, p: F.call_function("get_json_object", j, p), "JsonQuery": lambda j, p: F.call_function("get_json_object", j, p),
-    "JsonValue": lambda j, p: F.call_function("get_json_object", j, p), "RecordAsJson": F.to_json, "ToJsonString": lambda x: F.to_json(x),
+    "JsonValue": lambda j, p: F.call_function("get_json_object", j, p), "RecordAsJson": F.to_json, "ToJsonString": lambda x: F.to_json(x), "AssembleRecord": assembled, "DisassembleRecord": dissembled,
     # bytes and hashes
     "Fingerprint": F.xxhash64, "FarmFingerprint": F.xxhash64, "NaturalHash": F.xxhash64, "Md5": lambda x: F.unhex(F.md5(x.cast("binary"))), "Sha1": lambda x: F.unhex(F.sha1(x.cast("binary"))),
     "Sha256": lambda x: F.unhex(F.sha2(x.cast("binary"), 256)), "Sha512": lambda x: F.unhex(F.sha2(x.cast("binary"), 512)), "ToHex": lambda x: F.lower(F.hex(x)), "FromHex": F.unhex, "ToBase64": F.base64, "FromBase64": F.unbase64,
-    "SafeConvertBytesToString": lambda x: F.try_validate_utf8(x.cast("string")), "HllCountExtract": F.hll_sketch_estimate, "NetHost": lambda u: F.parse_url(u, F.lit("HOST")),
-    "NetIpv4FromInt64": lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]),
-    "NetIpv4ToInt64": lambda s: F.aggregate(F.split(s, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long")),
+    # authenticated encryption with a key of 16, 24 or 32 bytes: GCM, the nonce in front
+    "AeadEncrypt": lambda key, text, more: F.call_function("aes_encrypt", text.cast("binary"), key.cast("binary"), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), more.cast("binary")),
+    "AeadDecryptBytes": lambda key, text, more: F.call_function("aes_decrypt", text, key.cast("binary"), F.lit("GCM"), F.lit("DEFAULT"), more.cast("binary")),
+    "AeadDecryptString": lambda key, text, more: F.call_function("aes_decrypt", text, key.cast("binary"), F.lit("GCM"), F.lit("DEFAULT"), more.cast("binary")).cast("string"),
+    "SafeConvertBytesToString": lambda x: F.try_validate_utf8(x.cast("string")), "HllCountExtract": F.hll_sketch_estimate, "NetHost": lambda u: host_of(u), "NetPublicSuffix": lambda u: suffix_of(u, 0), "NetRegDomain": lambda u: suffix_of(u, 1),
+    "NetIpv4FromInt64": dotted, "NetFormatIp": dotted, "NetIpv4ToInt64": undotted, "NetParseIp": undotted,
     # others
     "UniqueNumber": F.monotonically_increasing_id, "UnsafeToUseUniqueNumber": F.monotonically_increasing_id, "ProverChoice": F.monotonically_increasing_id, "GenerateUuid": F.uuid, "SessionUser": F.session_user, "Error": F.raise_error,
 }
@@ -162,7 +236,18 @@ TYPED: dict[str, Callable[[TypeOf, list[Column]], Column]] = {
     "ToString": lambda kind, v: to_text(v[0], kind(v[0])),
     "in": lambda kind, v: F.lit(None).cast("boolean") if isinstance(kind(v[0]), T.NullType) else within(*v),
 }
-LITERAL = {"Cast": lambda x, name: x.cast(kind_named(name)), "TryCast": lambda x, name: x.try_cast(kind_named(name)), "Format": lambda fmt, *v: F.format_string(fmt, *v)}
+#: Functions with an argument that must be a literal: its place, and a function of its value and the other arguments.
+LITERAL: dict[str, tuple[int, Callable[..., Column]]] = {
+    "Cast": (1, lambda name, x: x.cast(kind_named(name))),
+    "TryCast": (1, lambda name, x: x.try_cast(kind_named(name))),
+    "Format": (0, lambda fmt, *v: F.format_string(fmt, *v)),
+    "DatetimeAdd": (2, lambda part, t, n: moved(t, n, part, "timestamp_ntz")),
+    "DatetimeSub": (2, lambda part, t, n: moved(t, -n, part, "timestamp_ntz")),
+    "DatetimeDiff": (2, lambda part, a, b: crossed(a, b, part)),
+    "TimestampAdd": (2, lambda part, t, n: moved(t, n, part, "timestamp")),
+    "TimestampSub": (2, lambda part, t, n: moved(t, -n, part, "timestamp")),
+    "TimestampDiff": (2, lambda part, a, b: F.timestamp_diff(unit_named(part), b.cast("timestamp"), a.cast("timestamp"))),
+}
 
 
 def spark_name(name: str) -> str:

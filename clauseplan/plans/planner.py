@@ -24,10 +24,13 @@ from ..lang.tree import (
     VALUE, And, Atom, Call, Combine, FieldOf, Head, IfExpr, ListExpr, Lit, Member, Node, Not, Or, PredRef, RecordExpr, Rule, Test, Unify, Var, conjuncts, mapped, variables, walk,
 )
 from ..operators.lineage import cut
+from ..sources import load
 from ..operators.relational import all_of, anti_join, attach_row, quoted, searched, sorted_by, union_all
 
 #: The names of Spark's own functions, asked for once.
 _FUNCTIONS: set[str] = set()
+#: Table reads that a predicate's plan may hold before it is written down for its users.
+MOST_SCANS = 16
 SPECIAL = {"Today": ("date",), "Now": ("timestamp",)}
 
 
@@ -50,9 +53,46 @@ class Planner:
         self.memo: dict[str, DataFrame] = {}
         self.overrides: dict[str, DataFrame | None] = {}
         self.uses = {n: set().union(*(used_by(r) for r in rs)) for n, rs in rules.items()}
+        self.attached: dict[str, str] = {}
+        self.shared: set[str] = set()
+        self.scans = self.weighed()
         self.numbers = count()
         self._macro: dict[str, bool] = {}
 
+    def weighed(self) -> set[str]:
+        """Predicates that others name twice or more and whose plan, written out, reads more than ``MOST_SCANS`` tables: they
+        are written down once, or a diamond of n levels would be a plan of 2**n scans."""
+        named = {n: [x.name for r in rules for part in (r.body, *(f.expr for f in r.head.fields)) for x in walk(part) if isinstance(x, Atom | Call) and x.name in self.rules] for n, rules in self.rules.items()}
+        users: dict[str, int] = {}
+        for names in named.values():
+            for x in names:
+                users[x] = users.get(x, 0) + 1
+        weight: dict[str, int] = {}
+        out = set()
+
+        def visit(start: str) -> None:
+            todo = [(start, iter(named[start]))]
+            weight[start] = 1  # also what a recursive use counts
+            while todo:
+                name, rest = todo[-1]
+                x = next(rest, None)
+                if x is not None:
+                    if x not in weight:
+                        weight[x] = 1
+                        todo.append((x, iter(named[x])))
+                    continue
+                todo.pop()
+                own = sum(weight[c] for c in named[name]) or 1
+                if own > MOST_SCANS and users.get(name, 0) > 1:
+                    out.add(name)
+                    own = 1
+                weight[name] = own
+
+        for n in self.rules:
+            if n not in weight:
+                visit(n)
+        return out
+
     # -- names
 
     @property
@@ -108,6 +148,9 @@ class Planner:
             if not self.unsafe:
                 raise PlanError("SQL in backticks needs unsafe=True")
             return self.spark.sql(name[1:-1])
+        database, _, table = name.partition(".")
+        if table and database in self.attached:
+            return load.attached(self.spark, self.attached[database], table)
         try:
             return self.spark.table(name)
         except Exception as e:
@@ -127,7 +170,9 @@ class Planner:
             else:
                 df = cut(df)
             if path := how.get("copy_to_file"):
-                df.write.mode("overwrite").json(path)
+                load.write(df, path, "array" if path.endswith(".json") else "jsonl")  # one JSON array, or lines that many tasks write
+        elif (name in self.scans or name in self.shared) and not df.isStreaming:
+            df = cut(df)
         return df
 
     def loop_of(self, name: str) -> set[str]:
@@ -169,18 +214,33 @@ class Planner:
         if not ops:
             return df.distinct()
         keys = [c for c in df.columns if c not in ops]
-        df = self.best_rows(df, keys, ops)
-        made = [self.aggregated(op, quoted(c)).alias(c) for c, op in ops.items()]
-        out = df.groupBy(*map(quoted, keys)).agg(*made) if keys else df.agg(*made)
+        bounded = [c for c, op in ops.items() if self.is_bounded(op)]
+        others = {c: op for c, op in ops.items() if c not in bounded}
+        out = self.grouped(df, keys, others) if others else None
+        for c in bounded:  # each by itself, so that no group is gathered whole
+            one = self.grouped(self.best_rows(df.select(*map(quoted, [*keys, c])), keys, c, ops[c]), keys, {c: ops[c]})
+            if out is None:
+                out = one
+            elif keys:
+                names = {k: self.fresh(k) for k in keys}
+                one = one.select(*[quoted(k).alias(n) for k, n in names.items()], quoted(c))
+                out = out.join(one, all_of([quoted(k).eqNullSafe(F.col(n)) for k, n in names.items()])).drop(*names.values())
+            else:
+                out = attach_row(out, one)
         return out.select(*map(quoted, df.columns))
 
-    def best_rows(self, df: DataFrame, keys: list[str], ops: dict[str, str]) -> DataFrame:
-        """Where a group's k best items are all that is asked of it, only the rows of those; Spark drops the others before
-        it shuffles, and no group is gathered whole."""
-        (column, op), *more = ops.items()
+    def grouped(self, df: DataFrame, keys: list[str], ops: dict[str, str]) -> DataFrame:
+        made = [self.aggregated(op, quoted(c)).alias(c) for c, op in ops.items()]
+        return df.groupBy(*map(quoted, keys)).agg(*made) if keys else df.agg(*made)
+
+    def is_bounded(self, op: str) -> bool:
+        """Whether an aggregate asks for a fixed number of a group's best items."""
+        name, extra = self.built_in(op)
+        return name in ("ArgMaxK", "ArgMinK") and len(extra) == 1 and isinstance(extra[0], Lit)
+
+    def best_rows(self, df: DataFrame, keys: list[str], column: str, op: str) -> DataFrame:
+        """The rows of a group's k best items; Spark drops the others before it shuffles."""
         name, extra = self.built_in(op)
-        if more or name not in ("ArgMaxK", "ArgMinK") or len(extra) != 1 or not isinstance(extra[0], Lit):
-            return df
         score = quoted(column)["value"]
         order = score.desc_nulls_last() if name == "ArgMaxK" else score.asc_nulls_last()
         if not keys:
@@ -420,7 +480,7 @@ class Planner:
             return False
         left, right = variables(p.left) <= frame.bound.keys(), variables(p.right) <= frame.bound.keys()
         if left and right:
-            self.filter(frame, self.value(p.left, frame) == self.value(p.right, frame))
+            self.filter(frame, self.condition(p, frame))
             return True
         for known, a, b in ((right, p.left, p.right), (left, p.right, p.left)):
             if known and isinstance(a, Var):
@@ -448,6 +508,9 @@ class Planner:
         if not atoms:
             return None
         one = next((a for a in atoms if variables(a) & frame.bound.keys()), None)
+        if one is None and frame.bound:  # rather one that a condition ties to what is there than the next in the text
+            tied = [p for p in todo if isinstance(p, Test | Unify) and variables(p) & frame.bound.keys()]
+            one = next((a for a in atoms if any(variables(p) <= frame.bound.keys() | variables(a) for p in tied)), None)
         if one is None and frame.bound and any(isinstance(p, Member) and variables(p.items) <= frame.bound.keys() and variables(p.item) & set().union(*map(variables, atoms)) for p in todo):
             return None
         self.join(one or atoms[0], frame)
@@ -537,7 +600,10 @@ class Planner:
         return True
 
     def condition(self, p: Node, frame: Frame) -> Column:
-        return self.value(p.expr, frame) if isinstance(p, Test) else self.value(p.left, frame) == self.value(p.right, frame)
+        if isinstance(p, Test):
+            return self.value(p.expr, frame)
+        a, b = self.comparable([p.left, p.right], [self.value(p.left, frame), self.value(p.right, frame)], frame)
+        return a == b
 
     def combine(self, p: Unify, frame: Frame, scope: set[str]) -> bool:
         target, node = p.left.name, p.right
@@ -634,17 +700,20 @@ class Planner:
             del names
             return F.expr(text)
         if name in scalar.LITERAL:
-            at = 1 if name in ("Cast", "TryCast") else 0
+            at, function = scalar.LITERAL[name]
             if len(args) <= at or not isinstance(args[at], Lit):
-                raise PlanError(f"{name} takes a literal there")
-            if at:
-                return scalar.LITERAL[name](self.value(args[0], frame), args[1].value)
-            return scalar.LITERAL[name](args[0].value, *[self.value(x, frame) for x in args[1:]])
+                raise PlanError(f"{name} takes a literal as argument {at + 1}")
+            try:
+                return function(args[at].value, *[self.value(x, frame) for i, x in enumerate(args) if i != at])
+            except TypeError as e:
+                raise PlanError(f"{name} can't take {len(args)} arguments") from e
         if name in ("is", "is not") and isinstance(args[1], Lit) and args[1].value is None:
             own = self.value(args[0], frame)
             return own.isNull() if name == "is" else own.isNotNull()
         if name in ("ReadFile", "ReadJson"):
-            raise PlanError(f"{name} is a source: use Program.load")
+            if len(args) != 1 or not isinstance(args[0], Lit) or not isinstance(args[0].value, str):
+                raise PlanError(f"{name} takes the path of one file as text; for many files use Program.load")
+            return F.lit(load.file_text(self.spark, args[0].value))
         values = [self.value(x, frame) for x in args]
         if name in ("==", "!=", "=") and (len(args) == 2):
             values = self.comparable(args, values, frame)

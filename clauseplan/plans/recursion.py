@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..lang.rewrite import used_by
-from ..lang.tree import Atom, Call, Combine, Not, Rule, conjuncts, walk
+from ..lang.tree import Atom, Call, Combine, Node, Not, Rule, Var, conjuncts, variables, walk
 from ..operators.lineage import cut
-from ..operators.relational import quoted, union_all
+from ..operators.relational import all_of, quoted, union_all
 
 if TYPE_CHECKING:
     from .planner import Planner
 
 FOREVER = 10**9
+#: Steps after which what is known is written down as one table.
+COMPACT = 8
 
 
 def depth_of(planner: Planner, loop: set[str]) -> int:
@@ -47,8 +49,11 @@ def solved(planner: Planner, loop: set[str]) -> dict[str, DataFrame]:
         name = next(iter(loop))
         rules = planner.rules[name]
         uses = [_plain_uses(r, loop) for r in rules]
-        if all(u is not None and u < 2 for u in uses) and not any(f.op for r in rules for f in r.head.fields):
-            return {name: _stepwise(planner, name, depth, uses)}
+        if all(u is not None and u < 2 for u in uses):
+            if not any(f.op for r in rules for f in r.head.fields):
+                return {name: _stepwise(planner, name, depth, uses)}
+            if column := _extreme(rules, name):
+                return {name: _improving(planner, name, depth, uses, *column)}
     return _naive(planner, loop, depth, stop)
 
 
@@ -82,13 +87,83 @@ def _stepwise(planner: Planner, name: str, depth: int, uses: list[int]) -> DataF
             found = found.distinct().alias("_new").join(known.alias("_old"), reduce(lambda a, b: a & b, same), "left_anti")
         new = cut(found)
         parts.append(new)
+        if len(parts) == COMPACT and distinct:
+            parts = [cut(union_all(parts))]  # or each step would read one part more than the last
     return union_all(parts)
 
 
+def _extreme(rules: list[Rule], name: str) -> tuple[str, str] | None:
+    """The column and the aggregate of a predicate that keeps one least or greatest value a key, if each recursive rule only
+    passes that value on, or adds to it or takes from it what does not depend on it: then a value that a better one has
+    replaced can give nothing better, and a step has to move only keys that improved."""
+    ops = {(f.name, f.op) for r in rules for f in r.head.fields if f.op}
+    if len(ops) != 1 or not all(r.head.distinct for r in rules):
+        return None
+    column, op = ops.pop()
+    if op not in ("Min", "Max"):
+        return None
+    for r in rules:
+        atom = next((p for p in conjuncts(r.body) if isinstance(p, Atom) and p.name == name), None)
+        if atom is None:
+            continue
+        was = dict(atom.args).get(column)
+        if atom.rest or not isinstance(was, Var):
+            return None
+        others = [p for p in conjuncts(r.body) if p is not atom] + [f.expr for f in r.head.fields if f.name != column] + [v for k, v in atom.args if k != column]
+        value = next(f.expr for f in r.head.fields if f.name == column)
+        if any(was.name in variables(x) for x in others) or not _moved_only(value, was.name):
+            return None
+    return column, op
+
+
+def _moved_only(value: Node, name: str) -> bool:
+    if isinstance(value, Var):
+        return value.name == name
+    if isinstance(value, Call) and value.name in ("+", "-") and len(value.values) == 2:
+        a, b = value.values
+        if _moved_only(a, name):
+            return name not in variables(b)
+        return value.name == "+" and _moved_only(b, name) and name not in variables(a)
+    return False
+
+
+def _improving(planner: Planner, name: str, depth: int, uses: list[int], column: str, op: str) -> DataFrame:
+    """The fixpoint of a least or greatest value a key; each step starts from the keys that the last one improved."""
+    rules = planner.rules[name]
+    base = [r for r, u in zip(rules, uses, strict=True) if not u]
+    steps = [r for r, u in zip(rules, uses, strict=True) if u]
+    if not base:
+        raise PlanError(f"{name} has no rule without itself, so it is empty")
+    best = F.min if op == "Min" else F.max
+    new = cut(_with(planner, {name: None}, name, base))
+    keys = [c for c in new.columns if c != column]
+
+    def merged(frames: list[DataFrame]) -> DataFrame:
+        every = union_all(frames)
+        own = best(quoted(column)).alias(column)
+        return (every.groupBy(*map(quoted, keys)).agg(own) if keys else every.agg(own)).select(*map(quoted, new.columns))
+
+    parts = [new]
+    for _ in range(depth):
+        if not steps or new.isEmpty():
+            break
+        found = _with(planner, {name: new}, name, steps).select(*map(quoted, new.columns))
+        old = merged(parts).select(*[quoted(k).alias(f"_old{i}") for i, k in enumerate(keys)], quoted(column).alias("_best"))
+        same = all_of([quoted(k).eqNullSafe(F.col(f"_old{i}")) for i, k in enumerate(keys)])
+        better = quoted(column) < F.col("_best") if op == "Min" else quoted(column) > F.col("_best")
+        joined = found.join(old, same, "left").filter(F.col("_best").isNull() | better)
+        new = cut(joined.select(*map(quoted, found.columns)))
+        parts.append(new)
+        if len(parts) == COMPACT:
+            parts = [cut(merged(parts))]
+    return merged(parts)
+
+
 def _state(frame: DataFrame) -> tuple:
-    own = [F.xxhash64(F.struct(*[quoted(c) for c in frame.columns]))]
-    r = frame.agg(F.count("*").alias("n"), F.sum(F.pmod(own[0], F.lit(1 << 31))).alias("s")).first()
-    return r["n"], r["s"]
+    """A count and two sums of 64-bit hashes: equal for equal bags."""
+    row = F.struct(*[quoted(c) for c in frame.columns])
+    sums = [F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    return tuple(frame.agg(F.count("*").alias("n"), *sums).first())
 
 
 def _naive(planner: Planner, loop: set[str], depth: int, stop: str | None) -> dict[str, DataFrame]:

@@ -32,7 +32,10 @@ def test_files(spark, tmp_path):
 
 def test_introspection(spark):
     spark.createDataFrame([(1, "x")], "id int, `Full Name` string").createOrReplaceTempView("some_people")
+    spark.createDataFrame([(1, 2, 3)], "`if` int, `Full Name` int, full_name int").createOrReplaceTempView("some_people_")
     text = introspect.table_rules(spark)
+    assert "SomePeople2(`if`: c_if, `Full Name`: full_name, full_name: full_name2) :- some_people_(" in text and text.startswith("# ")
+    assert Program(text, spark).run("SomePeople2").first()["if"] == 1
     assert "SomePeople(id:, `Full Name`: full_name) :- some_people(id:, `Full Name`: full_name);" in text
     assert Program(text, spark).run("SomePeople").first()["Full Name"] == "x"
 
@@ -61,5 +64,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["parse", f"{tmp_path}/p.l"]) == 0
     (tmp_path / "q.l").write_text("Out(x:, y:) :- T(x:);")
     assert main(["check", f"{tmp_path}/q.l"]) == 1 and "unboundHeadVar" in capsys.readouterr().out
+    (tmp_path / "many.csv").write_text("name,n\n" + "".join(f"r{i},{i + 2}\n" for i in range(1500)))
+    assert main(["run", f"{tmp_path}/p.l", "Out", "--load", f"T={tmp_path}/many.csv", "--csv"]) == 0
+    printed = capsys.readouterr()
+    assert len(printed.out.splitlines()) == 1501 and "1500 rows" in printed.err
     (tmp_path / "r.l").write_text("Out(x:")
     assert main(["run", f"{tmp_path}/r.l", "--no-check"]) == 1
