@@ -51,7 +51,7 @@ def op6_partial_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = secret_ledger.by_path(docs, secret_ledger.scan(docs))
-    base = {r.kind for r in secret_ledger.BASE_RULES}
+    base = [r.kind for r in secret_ledger.BASE_RULES]
     own = F.filter("spans", lambda s: s["kind"].isin(*base))
 
     def count(kind: str):

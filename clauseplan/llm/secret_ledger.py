@@ -5,7 +5,9 @@ a blob and what they found.  A scan takes only the (blob, rule version) pairs th
 them, and joins findings back to every path that holds the blob.
 
 A version's text is moved once, to gather equal blobs; each task passes a blob on once, so a blob that a third of all
-versions share arrives once from each task.
+versions share arrives once from each task.  Findings reach the paths of a crowded blob in several tasks.
+
+A span carries its rule with the rule's version: findings of a version that is no longer asked for are never given out.
 
 Defined results: a null text counts as empty; null paths pass through; repeated rows give repeated results; an empty
 table gives an empty result; columns beside the two named are never read.  Offsets are code points, ends exclusive.
@@ -16,13 +18,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import map_chunks, whole_text
+from .shared import cut, spread_join
 
-LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:long,end:long>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:long,end:long>>"
 
 
 @dataclass(frozen=True)
@@ -64,7 +69,7 @@ def scan_text(text: str, rules: tuple[tuple[Rule, re.Pattern], ...], lowered: st
             continue
         for m in compiled.finditer(text):
             if len(m[rule.group]) >= rule.least:
-                out.append((rule.kind, m.start(), m.end()))
+                out.append((rule.key, m.start(), m.end()))
     return out
 
 
@@ -99,8 +104,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
         todo = blobs.repartition("blob").withColumn("todo", every)
     else:
         known = ledger.select(F.col("blob").alias("_known"), F.explode("rules").alias("_rule")).groupBy("_known").agg(F.collect_set("_rule").alias("_done"))
-        todo = blobs.join(known, F.col("blob") == F.col("_known"), "left").withColumn("todo", F.array_except(every, F.coalesce("_done", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("todo") > 0).select("blob", "_text", "todo").repartition("blob")
+        todo = blobs.join(known.hint("merge"), F.col("blob") == F.col("_known"), "left").withColumn("todo", F.array_except(every, F.coalesce("_done", F.array().cast("array<string>"))))
+        todo = todo.filter(F.size("todo") > 0).select("blob", "_text", "todo")  # the join has gathered equal blobs
 
     def scanner():
         seen: set[bytes] = set()
@@ -114,7 +119,7 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
                 found = scan_text(text, tuple(x for x in compiled if x[0].key in keys))
                 out["blob"].append(blob)
                 out["rules"].append(keys)
-                out["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+                out["spans"].append([{"rule": k, "start": a, "end": b} for k, a, b in found])
             return out
 
         return work
@@ -122,52 +127,66 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     return map_chunks(todo, scanner, LEDGER, "_text")
 
 
-def _ranked(rules: tuple[Rule, ...]) -> Column:
-    return F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+def updated(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger kept as Parquet in ``folder``, after scanning what it lacks and appending that.  A run that broke off can
+    be run again: what it has appended is not scanned twice."""
+    spark: SparkSession = versions.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    scan(versions, rules, spark.read.schema(LEDGER).parquet(folder) if there else None, path, text).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob`` and its spans under the given rule versions by start, then kind as listed; only blobs with a span."""
-    keys, kinds = [r.key for r in rules], _ranked(rules)
-    one = ledger.filter(F.size("spans") > 0).filter(F.arrays_overlap("rules", F.array(*map(F.lit, keys))))
-    spans = F.flatten(F.collect_list("spans"))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kinds[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return one.groupBy("blob").agg(spans.alias("spans")).select("blob", F.array_distinct(order).alias("spans")).withColumn("spans", F.filter("spans", lambda s: s["rank"].isNotNull()))
+    """``blob`` and its spans under the given rule versions by start, then rule as listed; only blobs with a span."""
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
+    kind = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.kind))])
+    wanted = F.filter("spans", lambda s: s["rule"].isin(*[r.key for r in rules]))
+    one = ledger.select("blob", wanted.alias("spans")).filter(F.size("spans") > 0)
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["rule"]].alias("rank"), s["end"].alias("end"), kind[s["rule"]].alias("kind"))))
+    return one.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("blob", F.array_distinct(order).alias("spans"))
 
 
 def by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Every version with its blob and spans (an empty list where there are none)."""
-    v = addressed(versions, path, text).select("_path", "blob")
+    v = cut(addressed(versions, path, text).select("_path", "blob"))
     found = findings(ledger, rules).withColumnRenamed("blob", "_found")
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return v.join(found, F.col("blob") == F.col("_found"), "left").select(F.col("_path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))
+    return spread_join(v, found, "blob", "_found", F.col("_path")).select(F.col("_path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _blanked(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for x, a, b in zip(text, starts, ends, strict=True):
+        if x is None or a is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if i >= at:
+                parts += (x[at:i], "[secret]")
+            at = max(at, j)
+        out.append("".join(parts) + x[at:])
+    return pd.Series(out, dtype=object)
+
+
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with every found span replaced by ``[secret]`` (overlapping spans by one).  ``length``, if
     there is such a column, is set to the new text's code points where the text changed."""
     ledger = scan(docs, rules, path=id, text=text)
-    found = findings(ledger, rules).select(F.col("blob").alias("_found"), "spans")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.sha2(whole_text(text).cast("binary"), 256).alias("_blob"))
-    found = found.withColumnRenamed("spans", "_spans").hint("merge")  # one plan at every size: how many have secrets has no bound
-    joined = packed.join(found, F.col("_blob") == F.col("_found"), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def piece(a, b=None):
-        size = F.lit(2147483647) if b is None else (b - a).cast("int")
-        return F.substring(F.col("_text"), a.cast("int") + 1, size)
-
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("[secret]")))
-        return F.struct(F.coalesce(gap, acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], piece(acc["at"])))
+    found = findings(ledger, rules).select(F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
+    blob = F.sha2(whole_text(text).cast("binary"), 256).alias("_blob")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), F.col(id).alias("_path"), blob)
+    found = found.hint("merge")  # one plan at every size: how many have secrets has no bound
+    joined = spread_join(packed, found, "_blob", "_found", F.col("_path"), docs.select(blob))
     changed = F.col("_spans").isNotNull()
-    own = joined.withColumn("_new", F.when(changed, done).otherwise(F.col("_text")))
+    blank = F.pandas_udf(_blanked, T.StringType())  # only texts with spans go through Python
+    done = blank(F.when(changed, F.col("_text")), F.transform("_spans", lambda s: s["start"]), F.transform("_spans", lambda s: s["end"]))
+    own = joined.withColumn("_new", done).withColumn("_new", F.when(changed, F.col("_new")).otherwise(F.col("_text")))
 
     def column(name: str) -> Column:
         kept = F.col("_row").getField(name)

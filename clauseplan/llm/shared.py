@@ -1,18 +1,24 @@
-"""Lineage cuts and connected components over shared storage."""
+"""Lineage cuts, joins with crowded keys, and connected components, over shared storage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where the session names none, as in tests."""
+    """The session's checkpoint folder.  Where none is set, one is made up in local mode alone, as in tests."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.match(r"local(\[|$)", context.master):
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -22,6 +28,28 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: A key is crowded if it has more than this share of what an even deal gives a task.
+CROWDED = 1 / 8
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, by: Column, keys: DataFrame | None = None) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a key at most (a left join).
+
+    The rows of a crowded key are dealt by a hash of ``by`` over as many tasks as their number asks for, and the one row
+    of ``right`` goes to each.  Fewer than ``partitions / CROWDED`` keys can be crowded, however large the tables are, so
+    their list is broadcast.  ``keys``: the key column of ``left``, if that is cheaper to read again than ``left``.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (left if keys is None else keys).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    every = counts.agg(F.sum("_n").alias("_all"))
+    pieces = F.ceil(F.col("_n") * parts / CROWDED / F.col("_all"))
+    crowded = counts.crossJoin(F.broadcast(every)).select("_k", pieces.alias("_pieces")).filter("_pieces > 1")
+    crowded = F.broadcast(cut(crowded))
+    dealt = left.join(crowded, F.col(key) == F.col("_k"), "left").withColumn("_piece", F.pmod(F.xxhash64(by), F.coalesce("_pieces", F.lit(1)))).drop("_k", "_pieces")
+    copied = right.join(crowded, F.col(right_key) == F.col("_k"), "left").withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_k", "_pieces")
+    return dealt.join(copied, (F.col(key) == F.col(right_key)) & (F.col("_piece") == F.col("_of")), "left").drop("_piece", "_of")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, for every node that has an edge to another.
 
