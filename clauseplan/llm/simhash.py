@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_chunks, whole_text
-from .shared import components, cut
+from .shared import components, cut, spread_join
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Entries under one table value that are compared pair by pair.
@@ -202,7 +202,7 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int
     tied = labels.join(nodes, F.col("node") == F.col("fp")).groupBy("label").agg(F.min("_first").alias("_least"))
     least = labels.join(tied, "label").select(F.col("node").alias("_node"), "_least")
     named = nodes.join(least, F.col("fp") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "_first").alias("component_id"))
-    joined = every.join(named, F.col("fp") == F.col("_fp"), "left")
+    joined = spread_join(every, named, "fp", "_fp", F.col("_id"))
     return joined.select(F.col("_id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
