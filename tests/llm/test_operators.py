@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clauseplan.llm import licenses, mixing, partial_match, pieces, quality_model, quality_rules, secret_ledger, shared, simhash, suffix_dedup, telephony
 from clauseplan.llm.batches import LETTERS, Words, slices
-from clauseplan.llm.queries import piece_model
+from clauseplan.llm.queries import QUERIES, piece_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -357,6 +357,58 @@ def test_ledger_is_incremental(spark, edge_docs):
     assert whole == edge_docs.count()
 
 
+def test_findings_of_old_rule_versions_are_not_given_out(spark):
+    """A 16-character hex string is a finding of hex@1 and none of hex@2, which asks for 20."""
+    docs = spark.createDataFrame([(1, "x deadbeefdeadbeef y"), (2, "0123456789abcdef01234567")], "doc_id long, text string")
+    newer = (secret_ledger.Rule("hex", 2, "[0-9a-f]{20,}"),)
+    old = secret_ledger.scan(docs, (secret_ledger.HEX,))
+    both = old.unionByName(secret_ledger.scan(docs, newer, old)).cache()
+
+    def spans(rules):
+        got = secret_ledger.by_path(docs, both, rules)
+        return {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in got.collect()}
+
+    assert spans(newer) == {1: [], 2: [("hex", 0, 24)]}
+    assert spans((secret_ledger.HEX,)) == {1: [("hex", 2, 18)], 2: [("hex", 0, 24)]}
+
+
+def test_ledger_in_a_folder(spark, edge_docs, edge_rows, tmp_path):
+    """Two scans, the second over more versions and with newer rules, against brute force; a third finds nothing to do."""
+    folder = f"{tmp_path}/ledger"
+    secret_ledger.updated(edge_docs.filter("doc_id % 2 = 0"), folder, secret_ledger.BASE_RULES[:2])
+    ledger = secret_ledger.updated(edge_docs, folder, secret_ledger.BASE_RULES)
+    n = ledger.count()
+    got = secret_ledger.by_path(edge_docs, ledger, secret_ledger.BASE_RULES).select("doc_id", secret_ledger.spans_text(F.col("spans")).alias("s"))
+    assert by_row(got, "doc_id", "s") == sorted(((i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_secrets(t))) for i, t in edge_rows), key=repr)
+    pairs = ledger.select("blob", F.explode("rules").alias("rule"))
+    assert pairs.count() == pairs.distinct().count() == 3 * len({t or "" for _, t in edge_rows})
+    assert secret_ledger.updated(edge_docs, folder, secret_ledger.BASE_RULES).count() == n
+
+
+def test_registered_ledger_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for r in rows:
+        found = brute_secrets(r.text)
+        count = collections.Counter(k for *_, k in found)
+        want.append((r.doc_id, count["assign"], count["access"], count["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()))
+    assert by_row(QUERIES["op7_secret_ledger"](spark, folder), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
+
+
+def test_crowded_keys_are_spread(spark):
+    left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "i long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 2)] + [(7, "v7")], "r long, v string")
+    got = shared.spread_join(left, right, "k", "r", F.col("i"))
+    assert by_row(got, "i", "k", "v") == sorted(((i, k, f"v{k}" if k % 2 == 0 or k == 7 else None) for i, k in ((i, 7 if i % 3 else i) for i in range(300))), key=repr)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = shared.spread_join(left, right.hint("merge"), "k", "r", F.col("i")).select("k", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len({r.p for r in parts if r.k == 7}) > 1
+
+
 def test_redaction(edge_docs, empty_docs):
     out = secret_ledger.redacted(edge_docs, secret_ledger.BASE_RULES)
     assert out.schema == edge_docs.schema or out.columns == edge_docs.columns
@@ -467,6 +519,49 @@ def test_pieces_backend(edge_texts):
                 assert core.decode(library.encode(t)) == t
 
 
+def hand_made(trim=False, fallback=False):
+    """A unigram model put together by hand, as protobuf bytes."""
+    import struct
+
+    def part(number, kind, body):
+        size = bytes([len(body)]) if len(body) < 128 else bytes([len(body) & 127 | 128, len(body) >> 7])
+        return bytes([number << 3 | kind]) + (size if kind == 2 else b"") + body
+
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces_ += [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)] if fallback else []
+    pieces_ += [("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -2.2, 1), ("▁a", -1.0, 1), ("c", -4.0, 1), ("a▁b", -1.5, 1)]
+    out = b"".join(part(1, 2, part(1, 2, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces_)
+    trainer = b"\x18\x01" + (b"\x98\x02\x01" if fallback else b"")  # unigram; byte fallback is field 35
+    return out + part(2, 2, trainer) + part(3, 2, b"\x18\x01\x20" + bytes([trim]) + b"\x28\x01")
+
+
+@pytest.mark.parametrize(("trim", "fallback"), [(False, False), (True, False), (True, True)])
+def test_models_that_join_words(spark, trim, fallback):
+    """A unigram model with a piece across words, with and without trimmed blanks, encodes whole texts as the other library does."""
+    import sentencepiece
+
+    data = hand_made(trim, fallback)
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["ab a", "a b", "  ab   ba ", "", None, "cab abba a b", "b", "é a" if fallback else "zz a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pieces.encoded(docs, data, one_in=1)
+    assert by_row(out, "doc_id", "ids") == sorted(((i, library.encode(t or "")) for i, t in enumerate(texts)), key=repr)
+    assert out.filter("n_differ > 0").count() == 0 and out.filter("n_checked > 0").count() == len(texts)
+    back = pieces.decoded(out.select("doc_id", "ids"), data)
+    assert by_row(back, "doc_id", "text") == sorted(((i, library.decode(library.encode(t or ""))) for i, t in enumerate(texts)), key=repr)
+
+
+@needs_model
+def test_ids_come_from_the_backend():
+    """A library that is wrong changes the count of differences and no id."""
+    coder = pieces.Coder(piece_model())
+    right, *_ = coder.encode(["some words here", "some more"])
+    coder = pieces.Coder(piece_model(), one_in=1)
+    coder.reference = type("Wrong", (), {"encode": lambda self, x, num_threads: [[1]] * len(x), "piece_to_id": lambda self, x: 1})()
+    ids, _, checked, differ = coder.encode(["some words here", "some more"])
+    assert ids.tolist() == right.tolist() and checked.tolist() == differ.tolist() == [3, 2]
+
+
 def test_pieces_unigram():
     """A unigram model put together by hand, as protobuf bytes."""
 
