@@ -15,9 +15,15 @@ Whole texts are not sorted in one place.  A match of ``LENGTH`` bytes is a windo
 3.  The windows around such an anchor, as one segment, meet under the anchor's hash; equal segments meet as one.  Where
     different segments meet, their suffix array says which windows are equal, and which ids hold them.
 
-A block or segment that many documents hold leaves each chunk of documents once.  An anchor that many documents hold with
-different surroundings is found beforehand; its windows then meet by their own content, one by one, so no task gathers
-them.  Which anchors those are changes no result.
+A block or segment that many documents hold leaves each chunk of documents once, and a segment that a document repeats
+leaves it once, with its places as progressions.  An anchor that many documents hold with different surroundings is found
+beforehand in chunks, or, if it crowds none of them, by the task that counts its documents; its windows then meet by their
+own content, one by one, so no task gathers them.  Which anchors those are changes no result.
+
+So blocks and windows are found by hashes, and the suffix array has the last word on windows of different segments.  Blocks
+are equal if their 128-bit digests are; segments and pieces are compared byte by byte wherever a shorter hash has matched.
+Texts longer than ``PART`` are worked on in parts that overlap by a window, so memory doesn't grow with a text's length
+beyond the text itself.
 
 Ids are longs.  Defined results: a null text counts as empty; rows with a null id lose nothing and take nothing from
 others; rows with equal ids take nothing from each other; repeated rows give equal rows; texts under ``LENGTH`` bytes
@@ -40,10 +46,15 @@ from .shared import cut
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1
 TILE = 1 << 15
+#: Bytes of one text that are worked on at once.
+PART = 1 << 20
 NO_HASH = 0
-BLOCK_BITS, BLOCK_GRAM = 8, 16
+#: Blocks end at grams of 16 bytes with eight zero bits in their hash and no such gram in the 32 bytes before.
+BLOCK_BITS, BLOCK_GRAM, BLOCK_GAP = 8, 16, 32
 #: Anchors treated window by window: so many at most, each in this share of some chunk's documents.
 COMMON, COMMON_SHARE, COMMON_LEAST = 4096, 0.01, 8
+#: Documents of an anchor from which on its windows go by their own content.
+HEAVY = 1024
 #: Bytes of different pieces that share one suffix array, at least those of a whole anchor.
 ARRAY_BYTES = 128 << 10
 _INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -211,6 +222,92 @@ class Chunk:
         return np.searchsorted(self.offsets, at, side="right") - 1
 
 
+def _parts(batch: pa.RecordBatch):
+    """The batch and 0; or, of a single text longer than ``PART``, a batch for each part of it and where the part begins.
+    Parts overlap by a window less one byte, so each window is whole in just one."""
+    column = batch.column("_text")
+    size = pc.binary_length(column[0]).as_py() if batch.num_rows == 1 else 0
+    if size <= PART:
+        yield batch, 0
+        return
+    body = column[0].as_buffer()
+    others = {c: batch.column(c) for c in batch.schema.names}
+    for start in range(0, size - LENGTH + 1, PART):
+        part = pa.array([body.slice(start, min(PART + LENGTH - 1, size - start)).to_pybytes()], pa.binary())
+        yield pa.RecordBatch.from_pydict(others | {"_text": part}), start
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Ranges of each document with those united that overlap or touch."""
+    rows = rows[np.lexsort((rows["a"], rows["s"], rows["i"]))]
+    if not len(rows):
+        return rows
+    doc = np.zeros(len(rows), np.int64)
+    doc[_firsts(rows["i"], rows["s"])] = 1
+    base = np.cumsum(doc) << 33
+    reach = np.maximum.accumulate(base + rows["b"])
+    first = np.flatnonzero(np.concatenate([[True], base[1:] + rows["a"][1:] > reach[:-1]]))
+    out = rows[first]
+    out["b"] = reach[np.concatenate([first[1:], [len(rows)]]) - 1] - base[first]
+    return out
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` are those from ``b``, for each pair of places, in blocks of a bounded number of bytes."""
+    out = np.ones(len(a), bool)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 20), side="right")) - 1)
+        n = size[at:stop]
+        shift = np.arange(upto[stop] - upto[at]) - np.repeat(upto[at:stop] - upto[at], n)
+        differs = data[np.repeat(a[at:stop], n) + shift] != data[np.repeat(b[at:stop], n) + shift]
+        out[at:stop] = ~np.logical_or.reduceat(differs, upto[at:stop] - upto[at])
+        at = stop
+    return out
+
+
+def _alike(chunk: Chunk, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each string of the chunk, the same for equal strings only.  Strings that share a 64-bit hash with the
+    first of their kind but not its bytes get numbers of their own."""
+    _, one, kind = np.unique(chunk.hashes(a, b), return_index=True, return_inverse=True)
+    first = one[kind]
+    odd = np.flatnonzero((b - a) != (b - a)[first])
+    even = np.flatnonzero((b - a) == (b - a)[first])
+    odd = np.concatenate([odd, even[~_same(chunk.data, a[even], a[first[even]], (b - a)[even])]])
+    kind = kind.copy()
+    kind[odd] = len(one) + np.arange(len(odd))
+    return kind
+
+
+_TIMES = np.dtype([("start", "<u4"), ("step", "<u4"), ("times", "<u4")])
+
+
+def _progressions(start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted within each group (groups are numbers in order) as progressions with steps up to ``LENGTH``, and the
+    group of each: the places of a segment in a text of short period are one."""
+    n = len(start)
+    step = np.zeros(n, np.int64)
+    step[1:] = np.where(group[1:] == group[:-1], start[1:] - start[:-1], 0)
+    step[step > LENGTH] = 0
+    new = np.ones(n, bool)  # a place goes on if it is as far from the one before as that is from its own predecessor, or second
+    before = np.zeros(n, np.int64)
+    before[1:] = step[:-1]
+    second = (step > 0) & (before == 0)
+    new[(step > 0) & (step == before)] = False
+    turn = (step > 0) & (before > 0) & (step != before)  # such a place starts anew
+    follows = np.zeros(n, bool)
+    follows[1:] = turn[:-1]
+    new[second & ~follows] = False
+    first = np.flatnonzero(new)
+    times = np.diff(np.concatenate([first, [n]]))
+    out = np.zeros(len(first), _TIMES)
+    out["start"], out["times"] = start[first], times
+    nxt = np.minimum(first + 1, max(n - 1, 0))
+    out["step"] = np.where(times > 1, step[nxt] if n else 0, 0)
+    return out, group[first]
+
+
 def _pairs(packed: bytes | None) -> np.ndarray:
     return np.frombuffer(packed or b"", "<u4").reshape(-1, 2).astype(np.int64)
 
@@ -290,7 +387,11 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
     """Hashes of anchors that crowd some chunk, sorted; ``COMMON`` at most."""
 
     def make():
-        def work(batch: pa.RecordBatch) -> dict:
+        def work(batch: pa.RecordBatch):
+            for part, _ in _parts(batch):
+                yield crowding(part)
+
+        def crowding(batch: pa.RecordBatch) -> dict:
             texts = batch.column("_text")
             chunk = Chunk(texts)
             fresh = chunk.windows()
@@ -322,10 +423,15 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch):
+            for part, shift in _parts(batch):
+                yield from blocks(part, shift)
+
+        def blocks(batch: pa.RecordBatch, shift: int):
             chunk = Chunk(batch.column("_text"))
             ids, sums = batch.column("_i").to_numpy(), batch.column("_s").to_numpy()
             g = chunk.grams(BLOCK_GRAM)
             marks = np.flatnonzero(g & np.uint64((1 << BLOCK_BITS) - 1) == 0)
+            marks = marks[np.diff(marks, prepend=-BLOCK_GAP) >= BLOCK_GAP]
             starts = np.unique(np.concatenate([marks, chunk.offsets[:-1]]))
             starts = starts[starts < len(chunk.data)]
             row = chunk.rows(starts)
@@ -340,7 +446,7 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
             for key, i in zip(keys, own, strict=True):
                 if i < least.get(key, 1 << 63):
                     least[key] = i
-            base = chunk.offsets[row]
+            base = chunk.offsets[row] - shift
             lost = np.array([least[key] < i for key, i in zip(keys, own, strict=True)], bool)  # the others may have it from elsewhere
             sent_at, lost_at = np.flatnonzero(~lost), np.flatnonzero(lost)
             for at, key in ((sent_at, True), (lost_at, False)):
@@ -369,7 +475,7 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
                 least = np.full(place.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, place, ids[known])
                 lost[known] = ids[known] > least[place]
-            yield from _sent(_rows(ids[lost], sums[lost], a[lost], b[lost]), homes)
+            yield from _sent(_merged(_rows(ids[lost], sums[lost], a[lost], b[lost])), homes)
 
         work.finish = finish
         return work
@@ -378,15 +484,37 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
     return map_chunks(sent.repartition(F.coalesce(F.xxhash64("block"), F.xxhash64("_s", "_i"))), gather, _PACKED, "block", 64 << 20)
 
 
-def _fresh(chunk: Chunk, copied: list) -> np.ndarray:
-    """Whole windows that are not settled by a copied block."""
+def _fresh(chunk: Chunk, copied: list, shift: int = 0) -> np.ndarray:
+    """Whole windows that are not settled by a copied block.  ``shift``: where the text's part in the chunk begins."""
     out = chunk.windows()
-    for base, blobs in zip(chunk.offsets[:-1].tolist(), copied, strict=True):
-        for a, b in _pairs(blobs).tolist():
-            out[base + a : base + b] = False
+    for base, end, blobs in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), copied, strict=True):
+        ranges = _pairs(blobs) - shift + base
+        ranges = np.clip(ranges[(ranges[:, 1] > base) & (ranges[:, 0] < end)], base, end)
+        for a, b in ranges.tolist():
+            out[a:b] = False
     return out
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _known(batch: pa.RecordBatch, row: np.ndarray, h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors of a chunk are shared, by their bucket and low half, and which of those many documents hold."""
+    pairs = [_pairs(x) for x in batch.column("repeated").to_pylist()]
+    own = np.repeat(np.arange(len(pairs)), list(map(len, pairs)))
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    full = pairs[:, 1] >> 1 << 32 | pairs[:, 0]
+    kinds = np.unique(full)
+    wanted = _bucket(h, buckets) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.minimum(np.searchsorted(kinds, wanted), max(len(kinds) - 1, 0))
+    there = kinds[at] == wanted if len(kinds) else np.zeros(len(h), bool)
+    code = at * (len(batch) + 1) + row
+    codes = np.searchsorted(kinds, full) * (len(batch) + 1) + own
+    heavy = (pairs[:, 1] & 1).astype(bool)
+    return there & np.isin(code, codes), there & np.isin(code, codes[heavy])
+
+
 def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """Low halves of the hashes of those anchors that another document has too, packed; a document with a common anchor has
     one more entry, which stands for none."""
@@ -396,13 +524,20 @@ def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch):
+            for part, shift in _parts(batch):
+                yield from anchors(part, shift)
+
+        def anchors(batch: pa.RecordBatch, shift: int):
             chunk = Chunk(batch.column("_text"))
-            first, _, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist()))
+            first, _, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist(), shift))
             rare = ~np.isin(h.view(np.int64), shared.value)
             often = np.unique(chunk.rows(first[~rare]))
             first, h = first[rare], h[rare]
             row = chunk.rows(first)
-            bucket = ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.lexsort((h, row))  # an anchor counts once for each document
+            once = order[_firsts(row[order], h[order])]
+            row, h = row[once], h[once]
+            bucket = _bucket(h, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             ids, sums = batch.column("_i").to_numpy(), batch.column("_s").to_numpy()
@@ -449,9 +584,11 @@ def shared_anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             own = ids[place]
             several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
-            keep = np.repeat(several, np.diff(np.concatenate([first, [len(low)]])))
-            low, place = low[keep] & 0xFFFFFFFF, place[keep]
-            yield from _sent(_rows(ids[place], sums[place], low, 0), buckets)  # a hash packs as a range does
+            holders = np.diff(np.concatenate([first, [len(low)]]))
+            keep = np.repeat(several, holders)
+            heavy = np.repeat(holders > HEAVY, holders)[keep]
+            low, place = low[keep], place[keep]
+            yield from _sent(_rows(ids[place], sums[place], low & 0xFFFFFFFF, low >> 32 << 1 | heavy), buckets)  # packs as a range does
 
         work.finish = finish
         return work
@@ -466,38 +603,47 @@ def shared_windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch):
-            batch = batch.filter(batch.column("repeated").is_valid())
+            for part, shift in _parts(batch.filter(batch.column("repeated").is_valid())):
+                yield from windows(part, shift)
+
+        def windows(batch: pa.RecordBatch, shift: int):
             chunk = Chunk(batch.column("_text"))
-            first, last, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist()))
-            row = chunk.rows(first)
-            often = np.isin(h.view(np.int64), shared.value)
-            known = [_pairs(b)[:, 0] | i << 32 for i, b in enumerate(batch.column("repeated").to_pylist())]
-            again = np.isin(row << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64), np.concatenate(known)) if known else np.zeros(len(h), bool)
+            first, last, h = chunk.segments(_fresh(chunk, batch.column("copied").to_pylist(), shift))
+            again, heavy = _known(batch, chunk.rows(first), h, homes)
+            often = heavy | np.isin(h.view(np.int64), shared.value)
             plain = again & ~often
-            runs = last[often] - first[often] + 1  # windows of common anchors go one by one
+            runs = last[often] - first[often] + 1  # windows of crowded anchors go one by one
             single = np.arange(runs.sum()) + np.repeat(first[often] - (np.cumsum(runs) - runs), runs)
             a = np.concatenate([first[plain], single])
             b = np.concatenate([last[plain], single]) + LENGTH
-            content = chunk.hashes(a, b)
-            key = np.concatenate([h[plain], content[plain.sum() :]])
+            if not len(a):
+                return
+            key = np.concatenate([h[plain], chunk.hashes(single, single + LENGTH)]).view(np.int64)
             row = chunk.rows(a)
             ids, sums = batch.column("_i").to_numpy(), batch.column("_s").to_numpy()
             own = ids[row]
-            _, place = np.unique(content, return_inverse=True)
-            order = np.lexsort((own, place))
-            start = np.concatenate([[True], place[order][1:] != place[order][:-1]]) if len(order) else np.zeros(0, bool)
-            least = np.zeros(len(a), np.int64)
-            least[order] = np.repeat(own[order][start], np.diff(np.concatenate([np.flatnonzero(start), [len(order)]])))
-            base = chunk.offsets[row]
-            lost = own > least
-            at = np.flatnonzero(~lost)
+            kind = _alike(chunk, a, b)
+            order = np.lexsort((a, row, own, kind))  # each kind by its ids; under a document by place
+            a, b, key, row, own, kind = (x[order] for x in (a, b, key, row, own, kind))
+            start = _firsts(kind)
+            lost = own > np.repeat(own[start], np.diff(np.concatenate([start, [len(kind)]])))
+            base = chunk.offsets[row] - shift
+            gone = _merged(_rows(own[lost], sums[row[lost]], a[lost] - base[lost], b[lost] - base[lost]))
+            a, b, key, row, own, kind, base = (x[~lost] for x in (a, b, key, row, own, kind, base))
+            at = _firsts(kind, row)  # a document sends a segment once
+            group = np.zeros(len(a), np.int64)
+            group[at] = 1
+            places, owner = _progressions(a - base, np.cumsum(group) - 1)
+            cuts = np.searchsorted(owner, np.arange(len(at) + 1)).tolist()
             size = b[at] - a[at]
             upto = np.concatenate([[0], np.cumsum(size)])
             body = chunk.data[np.arange(upto[-1]) + np.repeat(a[at] - upto[:-1], size)]
-            segs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(upto.astype("<i4").tobytes()), pa.py_buffer(body.tobytes())])
-            yield {"anchor": key[at].view(np.int64), "segment": segs, "_i": own[at], "_s": sums[row[at]], "a": a[at] - base[at], "home": pa.nulls(len(at), pa.int32())}
-            for gone in _sent(_rows(own[lost], sums[row[lost]], a[lost] - base[lost], b[lost] - base[lost]), homes):
-                yield {"anchor": [None], "segment": gone["body"], "_i": [None], "_s": [None], "a": [None], "home": gone["home"]}
+            segs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(upto.astype("<i8").tobytes()), pa.py_buffer(body.tobytes())])
+            for k in range(0, len(at), 1 << 18):  # 32-bit offsets hold that many segments
+                some = slice(k, min(k + (1 << 18), len(at)))
+                yield {"anchor": key[at[some]], "segment": segs[some], "_i": own[at[some]], "_s": sums[row[at[some]]], "at": [places[x:y].tobytes() for x, y in zip(cuts[some], cuts[k + 1 : some.stop + 1], strict=True)], "home": pa.nulls(len(at[some]), pa.int32())}
+            for x in _sent(gone, homes):
+                yield {"anchor": [None], "segment": x["body"], "_i": [None], "_s": [None], "at": [None], "home": x["home"]}
 
         return work
 
@@ -529,7 +675,7 @@ def shared_windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
         work.finish = finish
         return work
 
-    sent = map_chunks(docs, make, "anchor long, segment binary, _i long, _s long, a long, home int", "_text")
+    sent = map_chunks(docs, make, "anchor long, segment binary, _i long, _s long, at binary, home int", "_text")
     dealt = sent.repartition(F.coalesce("anchor", F.xxhash64("segment"))).sortWithinPartitions("anchor")
     return map_chunks(dealt, meet, _PACKED, "segment", 8 << 20)
 
@@ -545,15 +691,29 @@ def met(batch: pa.RecordBatch, length: int = LENGTH) -> np.ndarray:
     has are cut out as pieces, equal pieces count as one, and the suffix array of the pieces tells whose windows are equal.
     """
     chunk = Chunk(batch.column("segment"))
-    anchors, ids, sums, at = (batch.column(c).to_numpy() for c in ("anchor", "_i", "_s", "a"))
+    anchors, ids, sums = (batch.column(c).to_numpy() for c in ("anchor", "_i", "_s"))
+    blobs = batch.column("at").to_pylist()
+    places = np.frombuffer(b"".join(blobs), _TIMES)
+    counts = np.array([len(x) // _TIMES.itemsize for x in blobs], np.int64)
+    place_from = np.concatenate([[0], np.cumsum(counts)])
+
+    def ranges(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Byte ranges of documents from those within some rows' segments, at each place of the segment."""
+        n = counts[rows]
+        which = np.repeat(np.arange(len(rows)), n)
+        own = places[np.arange(n.sum()) + np.repeat(place_from[rows] - (np.cumsum(n) - n), n)]
+        reach = own["start"].astype(np.int64) + own["step"].astype(np.int64) * (own["times"].astype(np.int64) - 1)
+        return _merged(_rows(ids[rows][which], sums[rows][which], own["start"] + a[which], reach + b[which]))
+
     start, end = chunk.offsets[:-1], chunk.offsets[1:]
-    content = chunk.hashes(start, end)
+    content = batch.column("segment").dictionary_encode().indices.to_numpy()
     order = np.lexsort((ids, content, anchors))
     first = _firsts(anchors[order], content[order])
     least = np.zeros(len(ids), np.int64)
     least[order] = np.repeat(ids[order][first], np.diff(np.concatenate([first, [len(ids)]])))
+    whole = np.flatnonzero(ids > least)
+    out = [ranges(whole, np.zeros(len(whole), np.int64), (end - start)[whole])]
     whole = ids > least
-    out = [_rows(ids[whole], sums[whole], at[whole], at[whole] + (end - start)[whole])]
 
     kinds = _firsts(anchors[order][first])  # anchors with one content have no more to tell
     several = np.repeat(np.diff(np.concatenate([kinds, [len(first)]])) > 1, np.diff(np.concatenate([first[kinds], [len(ids)]])))
@@ -581,7 +741,7 @@ def met(batch: pa.RecordBatch, length: int = LENGTH) -> np.ndarray:
     windows = np.diff(np.concatenate([piece, [len(row)]]))
     a, owner = place[piece], row[piece]
     b = a + windows - 1 + length
-    _, one, which = np.unique(chunk.hashes(a, b), return_index=True, return_inverse=True)
+    _, one, which = np.unique(_alike(chunk, a, b), return_index=True, return_inverse=True)
     holder = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(holder, which, ids[owner])
     found: list[np.ndarray | None] = [None] * len(one)
@@ -608,8 +768,7 @@ def met(batch: pa.RecordBatch, length: int = LENGTH) -> np.ndarray:
     new = np.flatnonzero(new)
     stop = np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1
     who = row[new]
-    shift = at[who] - start[who]
-    return np.concatenate([*out, _rows(ids[who], sums[who], place[new] + shift, place[stop] + length + shift)])
+    return np.concatenate([*out, ranges(who, place[new] - start[who], place[stop] + length - start[who])])
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -95,6 +95,56 @@ def test_suffix_dedup_many(spark):
     assert by_row(suffix_dedup.deduplicated(docs), *columns) == brute_removals(rows)
 
 
+def test_progressions():
+    rng = random.Random(3)
+    for _ in range(300):
+        start, group = [], []
+        for g in range(rng.randint(0, 4)):
+            at = 0
+            for _ in range(rng.randint(1, 12)):
+                at += rng.choice([1, 1, 1, 2, 2, 50, 51, 70])
+                start.append(at)
+                group.append(g)
+        out, owner = suffix_dedup._progressions(np.array(start, np.int64), np.array(group, np.int64))
+        back = [(g, int(p["start"]) + k * int(p["step"])) for p, g in zip(out, owner.tolist(), strict=True) for k in range(p["times"])]
+        assert back == list(zip(group, start, strict=True)) and (out["step"] <= 50).all()
+
+
+@pytest.mark.parametrize("period", [1, 2, 37, 61])
+def test_suffix_dedup_periodic_texts(spark, period):
+    """A long text of short period, in several parts, beside short ones that share its line; as the smallest id and the largest."""
+    rng = random.Random(period)
+    unit = "".join(rng.choice("-=xyz") for _ in range(period))
+    line = (unit * 100)[:130]
+    rows = [(i, f"{rng.random()} head {line} tail {rng.random()} " * rng.randint(1, 3)) for i in range(1, 40)]
+    for first in (0, 99):
+        big = [(first, (unit * 3_000_000)[: 2_300_000])]
+        docs = spark.createDataFrame(rows + big, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicated(docs, keep_text=False).collect()}
+        windows = {(unit * 100)[k : k + 50] for k in range(period)}
+        small = dict(rows)
+        if first == 0:  # the long text has every window of the line
+            assert got[0][0] == 0
+            for i, t in rows:
+                want = brute_removals([(0, unit * 200), *[(j, x) for j, x in rows if j <= i]])
+                assert (i, *got[i]) in {(w[0], w[2], w[4]) for w in want}
+        else:
+            assert got[99] == (2_300_000, hashlib.sha256(b"").hexdigest()) if all(any(w in t for t in small.values()) for w in windows) else True
+            assert {(i, *v) for i, v in got.items() if i != 99} == {(w[0], w[2], w[4]) for w in brute_removals(rows)}
+
+
+def test_suffix_dedup_heavy_anchors(edge_docs, edge_rows, monkeypatch, spark):
+    """Anchors found heavy only by the task that counts them, and hashes that collide."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 0)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 0)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_row(suffix_dedup.deduplicated(edge_docs), *columns) == brute_removals(edge_rows)
+    chunk = suffix_dedup.Chunk(pa.array([b"abcdefabcxef"]))
+    chunk.hashes = lambda a, b: np.zeros(len(a), np.uint64)  # every string collides with every other
+    kind = suffix_dedup._alike(chunk, np.array([0, 6, 3, 9, 0]), np.array([3, 9, 6, 12, 4]))
+    assert kind[0] == kind[1] and len(set(kind.tolist())) == 4
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(400):
