@@ -1,9 +1,9 @@
 """A quality classifier: n-gram indicators scaled by naive Bayes log-count ratios, under a linear hinge-loss model.
 
 Indicators are hashed: byte 3-grams, words, pairs of words, and how many runs of four words a text repeats.  The model is
-fitted on the driver, on at most ``fit_rows`` of the labelled training rows, chosen by a hash of their id: log-count
-ratios, then a linear model by dual coordinate descent.  A fifth of those rows is held back from the descent and turns
-margins into probabilities.  All documents are scored.
+fitted on the driver, on at most ``fit_rows`` of the labelled training rows that have a document, chosen by a hash of their
+id: log-count ratios, then a linear model by dual coordinate descent.  A fifth of those rows is held back from both and
+turns margins into probabilities.  All documents are scored.
 
 Defined results: a null text counts as empty and gets the score of no indicators; training rows with a null id, label or
 text, or a label other than 0 and 1, are left out; repeated rows count and score each; without training rows of both labels
@@ -84,6 +84,15 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, signs: np.ndarray, c
     return weights, bias
 
 
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The logarithm of each indicator's share among those of label 1 over its share among those of label 0, counts from one."""
+    counts = np.ones((2, 1 << bits))
+    for r, k in zip(rows, labels, strict=True):
+        counts[k, r] += 1
+    share = counts / counts.sum(axis=1, keepdims=True)
+    return np.log(share[1] / share[0])
+
+
 def calibrated(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve from margins to labels, by Newton steps on smoothed targets."""
     up, down = (labels == 1).sum(), (labels == 0).sum()
@@ -125,6 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """``label`` and ``own`` (packed indicators) of at most ``fit_rows`` labelled documents: those whose ids have the least
     hashes.  Their ids are so few that they are broadcast, and texts stay where they are."""
     known = labels.select(F.col(id).alias("_key"), F.col(label).cast("int").alias("_label")).filter("_key is not null and _label in (0, 1)")
+    there = docs.filter(F.col(text).isNotNull()).select(F.col(id).alias("_there"))
+    known = known.join(there, F.col("_key") == F.col("_there"), "left_semi")
     few = known.orderBy(F.xxhash64("_key"), "_key", "_label").limit(fit_rows)
     source = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
     source = source.join(F.broadcast(few), F.col("_id") == F.col("_key")).select("_text", "_label")
@@ -136,7 +147,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
         return work
 
-    return map_chunks(source, make, "label int, own binary", "_text").limit(fit_rows)
+    made = map_chunks(source, make, "label int, own binary", "_text")
+    return made.orderBy(F.xxhash64("own", "label")).limit(fit_rows)  # more only where ids repeat
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model | None:
@@ -148,12 +160,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id: str
     order = sorted(range(len(own)), key=lambda i: (zlib.crc32(own[i]), own[i], marks[i]))
     rows = [np.frombuffer(own[i], "<i4") for i in order]
     labels = np.array(marks)[order]
-    counts = np.ones((2, 1 << bits))
-    for r, k in zip(rows, labels, strict=True):
-        counts[k, r] += 1
-    share = counts / counts.sum(axis=1, keepdims=True)
-    scale = np.log(share[1] / share[0])
     back = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
+    scale = log_count_ratios([r for r, b in zip(rows, back, strict=True) if not b], labels[~back], bits)
     weights, bias = dual_descent([r for r, b in zip(rows, back, strict=True) if not b], scale, np.where(labels[~back] == 1, 1.0, -1.0))
     model = Model(scale, weights, bias)
     if back.any() and len(set(labels[back])) == 2:

@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a bounded sample of documents; rules then run in falling order of
-rejections per second, and a document leaves at the first rule that rejects it.  The order changes how much work is
-done, never the verdict: a document is kept if, and only if, no rule rejects it.  What a rule needs of a text (its
-words, lines, repeated windows) is computed at first use and shared by later rules.
+Each rule's cost and selectivity are estimated on a sample of documents: those with the least hashes of all partitions,
+bounded in rows and in characters of each.  The rule with the most rejections per second comes first; the others are
+measured again on what it leaves, with the facts that are known by then, and so on.  A document leaves at the first rule
+that rejects it.  The order changes how much work is done, never the verdict: a document is kept if, and only if, no rule
+rejects it.  What a rule needs of a text (its words, lines, repeated windows) is computed at first use and shared by
+later rules.  Costs are times, so rules of about the same gain may change places between runs.
 
 Defined results: a null text counts as empty and has no words; a null id passes through; an empty table gives an
 empty result; repeated rows are judged alike, one by one; columns beside the two named are never read.
@@ -11,6 +13,7 @@ empty result; repeated rows are judged alike, one by one; columns beside the two
 
 from __future__ import annotations
 
+import copy
 import re
 import time
 from collections.abc import Callable
@@ -27,8 +30,8 @@ from .batches import SPACE, WORD_PATTERN, map_chunks, whole_text
 _WORD = re.compile(WORD_PATTERN)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Documents on which costs and selectivities are estimated.
-SAMPLE_ROWS = 300
+#: Documents on which costs and selectivities are estimated, and the characters of each that are looked at for that.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4096
 
 
 class Facts:
@@ -120,16 +123,19 @@ BASE_RULES = (Rule("too_few_words", _too_few), Rule("repeated_windows", _repeats
 RULES = (*BASE_RULES, Rule("symbols", _symbols), Rule("same_lines", _same_lines), Rule("word_length", _word_length))
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Rows, rejections and seconds of each rule over the first ``sample_rows`` documents, each rule on fresh facts.  A
-    collected limit reads only as many partitions as that takes; the sample is timed on the driver."""
-    texts = [x[0] or "" for x in docs.select(F.col(text).cast("string").alias("_text")).limit(sample_rows).collect()]
-    out = []
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Facts(x)) for x in texts)
-        out.append({"rule": rule.name, "n": len(texts), "rejected": rejected, "seconds": time.perf_counter() - began if texts else 0.0})
-    return out
+def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
+    """The openings of the texts with the least hashes of id and opening: the same for the same rows, however dealt."""
+    opening = F.substring(whole_text(text), 1, chars)
+    few = docs.select(F.xxhash64(F.col(id), opening).alias("_h"), opening.alias("_opening")).orderBy("_h", "_opening").limit(rows)
+    return [r["_opening"] for r in few.collect()]  # rows * chars characters at most
+
+
+def measured(rule: Rule, facts: list[Facts]) -> tuple[list[bool], float]:
+    """A rule's verdicts and seconds on texts of which some facts are known; what it adds to them is not kept."""
+    own = [copy.copy(x) for x in facts]
+    began = time.perf_counter()
+    verdicts = [rule.rejects(x) for x in own]
+    return verdicts, time.perf_counter() - began
 
 
 def ordered(rules: tuple[Rule, ...], estimates: list[dict]) -> tuple[Rule, ...]:
@@ -138,10 +144,29 @@ def ordered(rules: tuple[Rule, ...], estimates: list[dict]) -> tuple[Rule, ...]:
     return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (gain[i], i)))
 
 
+def planned(rules: tuple[Rule, ...], texts: list[str], measure: Callable = measured) -> tuple[Rule, ...]:
+    """The cascade's order: the rule with the most rejections per second, then the one with the most on what that leaves, and
+    so on.  Rules that reject nothing there come last, as given."""
+    left, out = list(rules), []
+    facts = [Facts(x) for x in texts]
+    while left and facts:
+        found = [measure(rule, facts) for rule in left]
+        first = ordered(tuple(left), [{"rejected": sum(v), "seconds": t} for v, t in found])[0]
+        verdicts, _ = found[left.index(first)]
+        if not any(verdicts):
+            break
+        left.remove(first)
+        out.append(first)
+        for x in facts:
+            first.rejects(x)  # its facts are known from now on
+        facts = [x for x, gone in zip(facts, verdicts, strict=True) if not gone]
+    return (*out, *left)
+
+
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document: its id, ``rejected_by`` (the first rule in the estimated order that rejects it, or null) and ``kept``.
     Which of several rejecting rules is named may differ between runs; ``kept`` may not."""
-    order = ordered(rules, estimate(docs, rules, text, sample_rows))
+    order = planned(rules, sample(docs, id, text, sample_rows))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -162,7 +187,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id"
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document its counts beside the cascade's verdict.  The counts are wanted of every document, so the cascade
     saves only the rules that need more than them."""
-    order = ordered(rules, estimate(docs, rules, text, sample_rows))
+    order = planned(rules, sample(docs, id, text, sample_rows))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def make():
@@ -186,9 +211,9 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id",
     return out.withColumnRenamed("_id", id)
 
 
-def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with all their columns, in one pass and without a shuffle."""
-    order = ordered(rules, estimate(docs, rules, text, sample_rows))
+    order = planned(rules, sample(docs, id, text, sample_rows))
     at = docs.columns.index(text)
 
     def run(batches):

@@ -236,12 +236,13 @@ def decoded(media: DataFrame, column: str = "media", rate: int = 16000) -> DataF
 
 def carried(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: int = UNIT) -> DataFrame:
     """Texts carried as mu-law audio: the padded bytes become the samples of a WAVE file, are read back from it and
-    heard three ways: as mu-law (resampled to 16 kHz), as A-law, and as ADPCM blocks of ``unit`` bytes."""
+    heard three ways: as mu-law, as A-law, and as ADPCM blocks of ``unit`` bytes.  What is heard as mu-law is resampled to
+    twice the rate and kept as a WAVE file of 16-bit PCM; ``pcm_bytes`` and ``pcm_sha256`` are that file's."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             data, offsets = joined_bytes(batch.column("_text"))
-            out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}
+            out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256")}
             payloads, lines = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 body = data[a:b].tobytes()
@@ -250,11 +251,12 @@ def carried(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: int =
                 wave = read_wave(media)
                 back = wave.data.tobytes()
                 pcm = expand(wave)
-                wide = resampled(pcm, wave.rate, 2 * wave.rate)
+                stored = write_wave(resampled(pcm, wave.rate, 2 * wave.rate).astype("<i2").tobytes(), PCM, 2 * wave.rate, 2)
+                wide = read_wave(stored).data
                 level = pcm.astype(np.int64)
                 payloads.append(wave.data)
-                lines.append([int(np.abs(level).max()), round(float(np.sqrt((level * level).mean())), 3), int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum()), f"{zlib.crc32(wide.astype('<i2').tobytes()):08x}", f"{zlib.crc32(ALAW_PCM[wave.data].astype('<i2').tobytes()):08x}"])
-                for k, v in zip(out, (len(body), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest()), strict=True):
+                lines.append([int(np.abs(level).max()), round(float(np.sqrt((level * level).mean())), 3), int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum()), f"{zlib.crc32(wide.tobytes()):08x}", f"{zlib.crc32(ALAW_PCM[wave.data].astype('<i2').tobytes()):08x}"])
+                for k, v in zip(out, (len(body), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest()), strict=True):
                     out[k].append(v)
             if payloads:
                 blocks = np.concatenate(payloads).reshape(-1, unit)
@@ -268,5 +270,5 @@ def carried(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: int =
 
     source = docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    shape = f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    shape = f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
     return map_chunks(source, make, shape, "_text", 1 << 20).withColumnRenamed("_id", id)
