@@ -180,6 +180,35 @@ def test_raking_reaches_targets(spark):
     assert abs((out.n_tokens * out.probability).sum() / out.n_tokens.sum() - 0.5) < 1e-3
 
 
+def test_raking_with_full_cells(spark):
+    """Against plain Python, with targets that ask for more of some values than there is; and what margins() reports."""
+    rows = [(i, "w " * (5 + i % 40), [None, "en", "de"][i % 3], ["a", "b", "c", "d"][min(i % 11, 3)]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.6, "b": 0.2, "d": 0.2}, "lang": {"en": 0.5, "de": 0.3, None: 0.2}}
+    weight = collections.Counter()
+    for i, t, lang, source in rows:
+        weight[source, lang] += len(t.split())
+    total = sum(weight.values())
+    fit = {c: 0.75 * w for c, w in weight.items()}
+    for _ in range(mixing.ROUNDS):
+        for at, margin in enumerate(("source", "lang", None)):
+            sums = collections.Counter()
+            for c, x in fit.items():
+                sums[c[at] if margin else "one"] += x
+            for c, x in fit.items():
+                key = c[at] if margin else "one"
+                share = targets[margin].get(key, 0.0) if margin else 1.0
+                fit[c] = min(x * share * 0.75 * total / sums[key] if sums[key] else 0.0, weight[c])
+    out = mixing.mixed(docs, targets, by=F.lit("one")).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    assert all(r.probability == pytest.approx(fit[r.source, r.lang] / weight[r.source, r.lang], abs=2e-6) for r in out)
+    found = {(r.margin, r.value): r for r in mixing.margins(docs, targets, by=F.lit("one")).collect()}
+    for source in "abcd":
+        own = sum(w for c, w in weight.items() if c[0] == source)
+        assert found["source", source].reached == pytest.approx(sum(x for c, x in fit.items() if c[0] == source) / 0.75 / total, abs=1e-9)
+        assert found["source", source].target == pytest.approx(targets["source"].get(source, 0.0)) and found["source", source].share == pytest.approx(own / total)
+    assert found["source", "a"].reached < 0.2 < found["source", "a"].target
+
+
 # 3
 
 
@@ -292,6 +321,54 @@ def test_telephony(spark, edge_docs, edge_rows, empty_docs):
     assert telephony.carried(empty_docs).count() == 0
 
 
+def test_telephony_features(edge_docs, edge_rows):
+    """Peak, level, sign changes and the three ways of hearing, one byte after another."""
+
+    def mulaw(b):
+        b = ~b & 255
+        size = (((b & 15) * 8 + 132) << (b >> 4 & 7)) - 132
+        return -size if b & 128 else size
+
+    def alaw(b):
+        b ^= 0x55
+        part, level = (b & 15) * 16, b >> 4 & 7
+        size = part + 8 if level == 0 else (part + 264) << (level - 1)
+        return size if b & 128 else -size
+
+    def ima(block):
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.IMA_STEPS[index])
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+                out.append(value)
+        return out
+
+    def little(values):
+        return b"".join(v.to_bytes(2, "little", signed=True) for v in values)
+
+    got = {(r.doc_id, r.n_bytes): r for r in telephony.carried(edge_docs).collect()}
+    for i, t in edge_rows:
+        b = (t or "").encode()
+        if len(b) > 4000:
+            continue
+        p = b.ljust(max(192, -(-len(b) // 192) * 192))
+        pcm = [mulaw(x) for x in p]
+        peak, level = max(map(abs, pcm)), math.sqrt(sum(x * x for x in pcm) / len(pcm))
+        turns = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:], strict=False))
+        heard = [s for k in range(0, len(p), 192) for s in ima(p[k : k + 192])]
+        r = got[i, len(b)]
+        wide = telephony.doubled(np.array(pcm, np.int16)).astype("<i2").tobytes()
+        assert wide[::2 * 2][:1] == little(pcm[:1])[:1] and np.frombuffer(wide, "<i2")[::2].tolist() == pcm
+        want = f"peak={peak} rms={level:.3f} crossings={turns} pcm16k={zlib.crc32(wide):08x} alaw={zlib.crc32(little(map(alaw, p))):08x} ima={zlib.crc32(little(heard)):08x}"
+        assert r.feature == want
+        wave = telephony.write_wave(wide, telephony.PCM, 16000, 2)
+        assert r.pcm_bytes == len(wave) == 58 + len(wide) and r.pcm_sha256 == hashlib.sha256(wave).hexdigest()
+
+
 def test_media_column(spark):
     tone = (9000 * np.sin(np.arange(1600) / 7)).astype(np.int16)
     mu = telephony.write_wave(telephony.to_mulaw(tone).tobytes())
@@ -338,6 +415,49 @@ def test_licenses(spark, edge_docs, edge_rows, empty_docs):
     assert texts[span.doc_id].encode()[span.spans[0].start : span.spans[0].end].decode().strip()
 
 
+def plain_licenses(text):
+    """Names by exact containment in the windows, over tuples of words, sharing no code with the operator."""
+    def cleaned(x):
+        return "".join(c if ord(c) > 127 or c.isalnum() else " " for c in x.lower()) if x.isascii() else "".join((c.lower() if c.isalnum() else " ") if ord(c) < 128 else c for c in x)
+
+    def runs(x):
+        words = [w for w in cleaned(x).split(" ") if w]
+        return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+
+    every, out = runs(text or ""), set()
+    for name, texts in licenses.TEMPLATES.items():
+        for template in texts:
+            own = set(runs(template))
+            size = 1
+            while size < len(own):
+                size *= 2
+            if any(len(own & set(every[a : a + 2 * size])) >= 0.8 * len(own) for a in range(0, len(every), size)):
+                out.add(name)
+    return sorted(out)
+
+
+def test_licenses_plainly(spark, edge_docs, edge_rows):
+    assert by_row(licenses.scanned(edge_docs), "doc_id", "licenses") == sorted(((i, plain_licenses(t)) for i, t in edge_rows), key=repr)
+    rng = random.Random(16)
+    rows, where = [], {}
+    every = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    for k in range(120):
+        name, notice = every[k % len(every)]
+        words = notice.split()
+        for _ in range(rng.choice([0, 0, 1, len(words) // 15, len(words) // 8])):
+            words[rng.randrange(len(words))] = "changed"
+        before, after = (" ".join(f"word{rng.randrange(999)}" for _ in range(rng.randint(0, 120))) for _ in range(2))
+        rows.append((k, before + "\n" + "\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\n" + after))
+        where[k] = name, len(before.encode()), len(rows[-1][1].encode()) - len(after.encode()), words == notice.split()
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.licenses == plain_licenses(rows[r.doc_id][1])
+        name, start, end, same = where[r.doc_id]
+        if same:  # an unchanged notice: its own span holds it, with full containment
+            own = [s for s in r.spans if s.license == name]
+            assert any(s.containment == 1.0 and s.start <= start + 2 and s.end >= end - 3 for s in own) or len(rows[r.doc_id][1].split()) < 8
+
+
 # 6
 
 
@@ -501,6 +621,33 @@ def test_quality_model(spark, edge_docs, empty_docs):
     assert quality_model.trained_and_scored(empty_docs, marks).count() == 0
 
 
+def test_dual_descent_against_a_plain_solver():
+    """The dual optimum, found by projected gradient steps over the whole matrix, and the ratios counted by hand."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(3, 9))) for _ in range(60)]
+    signs = np.where(np.array([(r < 12).mean() > 0.4 for r in rows]), 1.0, -1.0)
+    scale = quality_model.log_count_ratios(rows, (signs > 0).astype(int), 5)
+    for f in (0, 13, 29):
+        up = [1 + sum(f in r for r, s in zip(rows, signs, strict=True) if s > 0), 32 + sum(len(r) for r, s in zip(rows, signs, strict=True) if s > 0)]
+        down = [1 + sum(f in r for r, s in zip(rows, signs, strict=True) if s < 0), 32 + sum(len(r) for r, s in zip(rows, signs, strict=True) if s < 0)]
+        assert scale[f] == pytest.approx(math.log(up[0] / up[1] / (down[0] / down[1])))
+    weights, bias = quality_model.dual_descent(rows, scale, signs, passes=500)
+    x = np.zeros((60, 33))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum()) * np.sqrt(50)
+        x[i, 32] = 1
+    q = (signs[:, None] * x) @ (signs[:, None] * x).T
+    alpha = np.zeros(60)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 0.05)
+    plain = (alpha * signs) @ x
+
+    def loss(w):
+        return 0.5 * w @ w + 0.05 * np.maximum(0, 1 - signs * (x @ w)).sum()
+
+    assert loss(np.append(weights, bias)) == pytest.approx(loss(plain), rel=1e-3)
+
+
 # 9
 
 
@@ -535,6 +682,26 @@ def test_cascade_order():
     assert quality_rules.ordered(rules, [{"n": 0, "rejected": 0, "seconds": 0.0}] * 3) == rules
 
 
+def test_cascade_is_planned_on_what_is_left():
+    """A rule that rejects what an earlier one has already rejected comes last, however good it looks alone."""
+    a, b, c = (quality_rules.Rule(n, f) for n, f in (("a", lambda x: "1" in x.text), ("b", lambda x: "1" in x.text or "2" in x.text), ("c", lambda x: "3" in x.text)))
+    texts = ["1"] * 5 + ["2"] * 1 + ["3"] * 3 + ["-"]
+    seconds = {"a": 1.0, "b": 3.0, "c": 1.0}
+
+    def measure(rule, facts):
+        return [rule.rejects(x) for x in facts], seconds[rule.name]
+
+    assert [r.name for r in quality_rules.planned((b, c, a), texts, measure)] == ["a", "c", "b"]
+    assert quality_rules.planned((a, b, c), [], measure) == (a, b, c) and quality_rules.planned((a, b, c), ["-"], measure) == (a, b, c)
+
+
+def test_cascade_sample(spark, edge_docs, empty_docs):
+    """Whatever the partitions, the same openings, bounded in rows and characters."""
+    few = quality_rules.sample(edge_docs, rows=7, chars=30)
+    assert len(few) == 7 and max(map(len, few)) <= 30 and few == quality_rules.sample(edge_docs.repartition(5), rows=7, chars=30)
+    assert quality_rules.sample(empty_docs) == []
+
+
 # 10
 
 
