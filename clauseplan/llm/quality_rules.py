@@ -125,8 +125,10 @@ RULES = (*BASE_RULES, Rule("symbols", _symbols), Rule("same_lines", _same_lines)
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
     """The openings of the texts with the least hashes of id and opening: the same for the same rows, however dealt."""
+    share = min(1.0, 4 * rows / max(docs.count(), 1))  # so that partitions don't each send ``rows`` openings to the driver
     opening = F.substring(whole_text(text), 1, chars)
-    few = docs.select(F.xxhash64(F.col(id), opening).alias("_h"), opening.alias("_opening")).orderBy("_h", "_opening").limit(rows)
+    hashed = docs.select(F.xxhash64(F.col(id), opening).alias("_h"), opening.alias("_opening"))
+    few = hashed.filter(F.shiftrightunsigned("_h", 33) < F.lit(int(share * (1 << 31)))).orderBy("_h", "_opening").limit(rows)
     return [r["_opening"] for r in few.collect()]  # rows * chars characters at most
 
 
