@@ -481,7 +481,7 @@ def copied_blocks(docs: DataFrame) -> DataFrame:
         return work
 
     sent = map_chunks(docs, make, "block binary, _i long, _s long, a long, b long", "_text")
-    return map_chunks(sent.repartition(F.coalesce(F.xxhash64("block"), F.xxhash64("_s", "_i"))), gather, _PACKED, "block", 64 << 20)
+    return map_chunks(sent.repartition(F.when(F.col("block").isNotNull(), F.xxhash64("block")).otherwise(F.xxhash64("_s", "_i"))), gather, _PACKED, "block", 64 << 20)
 
 
 def _fresh(chunk: Chunk, copied: list, shift: int = 0) -> np.ndarray:
