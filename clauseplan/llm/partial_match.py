@@ -8,39 +8,39 @@ counts and ``d`` distinct bytes left in a context, a byte seen ``c`` times has `
 A text is coded as its UTF-8 bytes with A-Z lower-cased and one end; it starts in a context of ends.
 
 An event is a full context with its next byte.  Its probability depends on nothing else, so the trie is walked once for
-each distinct event of the corpus, in groups that share the last two bytes of the context, and hold the whole subtrie
-below them; the tables of orders 0 and 1 have at most 65,792 entries and travel along.  Documents then add up the
-logarithms of their events.  These reach them in blocks of ``BLOCK`` events, a bounded broadcast each, and every document
-passes every block.
+each distinct event of the corpus.  Documents are dealt by hash to parts of about ``PART_BYTES``; each part asks once for
+every distinct event and word in it (``asked``), and gets probabilities and counts back by one join (``scores``), whatever
+their number.  So texts are read twice at every size, and a task holds the distinct events of its part.
 
-The base score wants the count of every word, and words have no bound.  So each document's words, as 64-bit hashes, are
-dealt by hash to tasks that count them and send a sum back to each document.  The few words that would crowd such a task
-are found beforehand in chunks, and counted and broadcast apart; which words those are changes no result.
+The trie is walked in groups that share the last two bytes of the context and hold the whole subtrie below them.  A context
+with more than one in ``GROUPS`` of all events is split by its next byte, and so on down to full contexts, which have 256
+events at most.  What a group needs of the shorter contexts it lies under are at most 256 events for each of these; contexts
+that were split are fewer than ``GROUPS`` an order, so these tables are broadcast.
 
 Defined results: a null text counts as empty, and has the end alone; a null id is held out (as the empty text); repeated
-rows train as often as they occur and score alike; without training documents every byte has 1/256, and ``base_score`` is
+rows train as often as they occur and score alike (rows equal in id and text share a part, which streams them); without training documents every byte has 1/256, and ``base_score`` is
 taken with ``N = V = 0``; an empty table gives an empty result; columns beside the two named are never read.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import LOWER, Words, joined_bytes, map_chunks, mixed, whole_text
-from .shared import cut
+from .batches import LOWER, Words, joined_bytes, map_chunks, whole_text
+from .shared import checkpoint_folder, cut
 
 ORDER, END, ALPHABET = 5, 0xFF, 256
-BLOCK = 4_000_000
-#: Words that are counted apart: so many at most, each with at least this share of some chunk's words.
-COMMON_WORDS, COMMON_SHARE = 4096, 1 / 4096
+#: Bytes of text in a part, events that a task holds before it passes them on, and groups that all events are cut into at least.
+PART_BYTES, BLOCK, GROUPS = 32 << 20, 4_000_000, 1024
 #: Bytes of text at once: every byte becomes several 64-bit numbers.
 TEXT_BYTES = 2 << 20
-_PART = np.dtype([("key", "<i8"), ("s", "<f8"), ("n", "<i8")])
 
 
 class Trie:
@@ -127,44 +127,43 @@ def _sums(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return own, np.bincount(at, counts, len(own)).astype(np.int64)
 
 
-def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``event``, and ``n``, its occurrences in training documents (0 if only others have it); beside those, in the same
-    pass, rows with ``common``: a word's hash and ``n``, its occurrences in chunks that it is common in."""
+def asked(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``part``, ``word``, ``key`` and ``n``: the distinct events (``word`` is false) and hashes of words of each part, and how
+    often the training documents in it have them (0 if only others do).  A part that holds more than ``BLOCK`` may name a key
+    more than once."""
 
     def make():
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        often: dict[int, int] = {}
+        held: dict[bool, list] = {False: [], True: []}
+        part: list[int] = []
 
-        def settle(force: bool):
-            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            held[:] = [_sums(keys, counts)]
-            if force or len(held[0][0]) > BLOCK:
-                keys, counts = held.pop()
-                return {"event": keys, "common": pa.nulls(len(keys), pa.int64()), "n": counts}
-            return None
+        def settle(word: bool, force: bool):
+            keys, counts = (np.concatenate(x) for x in zip(*held[word], strict=True))
+            held[word][:] = [_sums(keys, counts)]
+            if force or len(held[word][0][0]) > BLOCK:
+                keys, counts = held[word].pop()
+                yield {"part": np.full(len(keys), part[0]), "word": np.full(len(keys), word), "key": keys, "n": counts}
 
         def work(batch: pa.RecordBatch):
-            keys, upto = events(batch.column("_text"), order)
-            test = np.repeat(batch.column("_held").to_numpy(zero_copy_only=False), np.diff(upto))
-            held.append(_sums(keys[~test]))
-            rest = np.unique(keys[test])
-            held.append((rest, np.zeros(len(rest), np.int64)))
-            h, n = np.unique(Words(batch.column("_text"), LOWER).hashes(), return_counts=True)
-            for at in np.flatnonzero(n > max(8, COMMON_SHARE * n.sum())).tolist():
-                w = int(h[at].astype(np.int64))
-                often[w] = often.get(w, 0) + int(n[at])
-            return settle(False) if len(held) > 16 else None
+            part[:] = [batch.column("_part")[0].as_py()]
+            text, train = batch.column("_text"), ~batch.column("_held").to_numpy(zero_copy_only=False)
+            keys, upto = events(text, order)
+            words = Words(text, LOWER)
+            for word, every, per in (False, keys, np.diff(upto)), (True, words.hashes().view(np.int64), np.diff(words.bounds)):
+                mine = np.repeat(train, per)
+                rest = np.unique(every[~mine])
+                held[word] += [_sums(every[mine]), (rest, np.zeros(len(rest), np.int64))]
+                if len(held[word]) > 16:
+                    yield from settle(word, False)
 
         def finish():
-            if held:
-                yield settle(True)
-            yield {"event": pa.nulls(len(often), pa.int64()), "common": list(often), "n": list(often.values())}
+            for word in held:
+                if held[word]:
+                    yield from settle(word, True)
 
         work.finish = finish
         return work
 
-    made = map_chunks(docs, make, "event long, common long, n long", "_text", TEXT_BYTES)
-    return made.groupBy("event", "common").agg(F.sum("n").alias("n"))
+    return map_chunks(docs, make, "part int, word boolean, key long, n long", "_text", TEXT_BYTES)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -184,16 +183,22 @@ class _Level:
         self.distinct = np.bincount(at, minlength=len(self.contexts))
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> np.ndarray:
     """The base-10 logarithms of the probabilities of some events.  ``keys`` and ``counts`` must hold every event whose
-    context ends in one of these contexts' last two bytes; ``low``: all events of order 1 and their counts."""
+    context ends in the bytes that these contexts share, ``len(low)`` in number; ``low``: of each order below that, from 0 on, the
+    events, sorted, and their counts, at least those in the contexts that these bytes end in."""
     out = np.zeros(len(keys))
     open_ = np.ones(len(keys), bool)
     above: _Level | None = None
     for k in range(order, -1, -1):
         mask = (1 << 8 * (k + 1)) - 1
-        level = _Level(keys & mask, counts) if k > 1 else _Level(low[0] & mask, low[1])
         mine = keys & mask
+        if k >= len(low):
+            level = _Level(mine, counts)
+        else:
+            context = int(mine[0]) >> 8
+            at = slice(*np.searchsorted(low[k][0], [context << 8, (context + 1) << 8]))
+            level = _Level(low[k][0][at], low[k][1][at])
         c = _lookup(level.events, level.counts, mine)
         total = _lookup(level.contexts, level.total, mine >> 8)
         distinct = _lookup(level.contexts, level.distinct, mine >> 8)
@@ -201,7 +206,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarra
             shadow = _lookup(level.events, level.counts, above.events & mask)
             at = np.searchsorted(above.contexts, above.events >> 8)
             taken = np.bincount(at, shadow, len(above.contexts))
-            longer = keys >> 8 & ((1 << 8 * (k + 1)) - 1)
+            longer = keys >> 8 & mask
             total = total - _lookup(above.contexts, taken, longer)
             distinct = distinct - _lookup(above.contexts, above.distinct, longer)
         hit = open_ & (c > 0)
@@ -215,228 +220,124 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarra
     return out
 
 
-def event_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``event`` and ``lp``, the base-10 logarithm of its probability, from ``event`` and ``n``."""
-    low = counts.filter("n > 0").groupBy(F.col("event").bitwiseAND(F.lit(0xFFFF)).alias("e")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
-    shared = counts.sparkSession.sparkContext.broadcast(tuple(low.column(c).to_numpy().astype(np.int64) for c in ("e", "n")))
-
-    def walk(table: pa.Table) -> pa.Table:
+def event_table(counts: DataFrame, order: int = ORDER, groups: int = GROUPS) -> DataFrame:
+    """``event`` and ``lp``, the base-10 logarithm of its probability, from ``event`` and ``n``.  ``groups`` changes no result."""
+    context, seen = F.shiftright("event", 8), counts.filter("n > 0")
+
+    def suffix(length: int) -> Column:
+        return context.bitwiseAND(F.lit((1 << 8 * length) - 1))
+
+    def lower(frame: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The events of order k, and their counts."""
+        part = frame.groupBy(F.col("event").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("e")).agg(F.sum("n").alias("n")).toArrow()
+        return _sums(*(part.column(c).to_numpy().astype(np.int64) for c in ("e", "n")))
+
+    low = [lower(seen, 0), lower(seen, 1)]  # 256 and 65,536 at most
+    most = max(counts.count() // groups, 1)
+    depth = F.lit(2)
+    for k in range(2, order):
+        crowded = counts.filter(depth == k).groupBy(suffix(k).alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        crowded = crowded.select("c").toArrow().column("c").to_pylist()  # fewer than ``groups``
+        if not crowded:
+            break
+        split = (depth == k) & suffix(k).isin(crowded)
+        low.append(lower(seen.filter(split), k))  # 256 a context at most
+        depth = F.when(split, k + 1).otherwise(depth)
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    def walk(key: tuple, table: pa.Table) -> pa.Table:
         keys = table.column("event").to_numpy()
-        return pa.table({"event": keys, "lp": log_probabilities(keys, table.column("n").to_numpy(), shared.value, order)})
-
-    return counts.groupBy(F.shiftright("event", 8).bitwiseAND(F.lit(0xFFFF))).applyInArrow(lambda t: walk(t.select(["event", "n"])), "event long, lp double")
+        return pa.table({"event": keys, "lp": log_probabilities(keys, table.column("n").to_numpy(), shared.value[: key[0].as_py()], order)})
 
+    dealt = counts.select("event", "n", depth.alias("depth")).withColumn("suffix", suffix_of(context, F.col("depth")))
+    return dealt.groupBy("depth", "suffix").applyInArrow(walk, "event long, lp double")
 
-def base_parts(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """What the base score needs.  Rows with ``body``: for each row key that hashes to ``home``, packed, the known words and
-    the sum of log10(count + 0.1) over some of its words, without common words and ends.  Rows with ``place``: the training
-    tokens (-1), the distinct ones (-2), and, by its place, the training count of each common word."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(np.sort(common))
 
-    def deal_out():
-        often = shared.value
-        sums = np.zeros(len(often), np.int64)
-        total = [0]
-
-        def work(batch: pa.RecordBatch):
-            words = Words(batch.column("_text"), LOWER)
-            train = ~batch.column("_held").to_numpy(zero_copy_only=False)
-            per = np.diff(words.bounds)
-            total[0] += int(per[train].sum())
-            row = np.repeat(np.arange(len(per)), per)
-            h = words.hashes().view(np.int64)
-            at = np.minimum(np.searchsorted(often, h), max(len(often) - 1, 0))
-            rare = often[at] != h if len(often) else np.ones(len(h), bool)
-            sums[:] += np.bincount(at[~rare & train[row]], minlength=len(often)) if len(often) else 0
-            h, row = h[rare], row[rare]
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([first, [len(h)]]))
-            h, row = h[first], row[first]
-            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            keys = batch.column("_key").to_numpy()
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
-                own, place = np.unique(row[at], return_inverse=True)
-                body = [np.array([len(own), len(at)], "<i8"), keys[own], train[own].astype("i1"), h[at], place.astype("<i4"), n[at].astype("<i4")]
-                yield {"bucket": [b], "body": [b"".join(x.tobytes() for x in body)], "place": [None], "n": [None]}
+def suffix_of(context: Column, length: Column) -> Column:
+    """The last bytes of a context, ``length`` in number."""
+    return context.bitwiseAND(F.pow(F.lit(256), length).cast("long") - 1)
 
-        def finish():
-            yield {"bucket": np.full(len(often) + 1, -1), "body": [None] * (len(often) + 1), "place": np.arange(-1, len(often)), "n": np.concatenate([total, sums])}
 
-        work.finish = finish
-        return work
+def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, part_bytes: int = PART_BYTES, groups: int = GROUPS) -> DataFrame:
+    """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
-    dealt = map_chunks(docs, deal_out, "bucket int, body binary, place int, n long", "_text", TEXT_BYTES).repartition(buckets, "bucket", "place")
+    ``part_bytes`` and ``groups`` change no result.  The result reads what parts ask for from the shared checkpoint folder."""
+    if not 2 <= order <= 6:
+        raise ValueError("an order from 2 to 6 fits a 64-bit event")
+    spark = docs.sparkSession
+    source = docs.select(F.col(id).alias("_id"), held_out(id).alias("_held"), whole_text(text).alias("_text"))
+    facts = source.agg(F.coalesce(F.sum(F.octet_length("_text") + 1), F.lit(0)).alias("bytes"), F.count_if(~F.col("_held")).alias("ends")).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-facts["bytes"] // part_bytes))
+    source = source.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)).cast("int"))
+
+    folder = f"{checkpoint_folder(spark)}/asked-{uuid.uuid4().hex}"
+    asked(source.drop("_id").repartitionById(parts, "_part"), order).write.parquet(folder)
+    wanted = spark.read.parquet(folder)
+    counts = cut(wanted.groupBy("word", "key").agg(F.sum("n").alias("n")))
+    words = counts.filter("word").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    ends, total = facts["ends"], words["n"] + facts["ends"]
+    share = math.log10(total + 0.1 * (words["v"] + (ends > 0) + 1))
+
+    table = event_table(counts.filter("not word").select(F.col("key").alias("event"), "n"), order, groups)
+    values = table.select(F.lit(False).alias("word"), F.col("event").alias("key"), F.col("lp").alias("value"))
+    values = values.unionByName(counts.filter("word").select("word", "key", F.col("n").cast("double").alias("value")))
+    answers = wanted.select("part", "word", "key").join(values, ["word", "key"]).withColumnRenamed("part", "_part")
+    every = source.unionByName(answers, allowMissingColumns=True).repartitionById(parts, "_part")
+    every = every.sortWithinPartitions(F.col("_text").isNotNull())  # a part's answers come before its documents
 
-    def gather():
-        bodies: list[bytes] = []
-        plain: list[tuple[int, int]] = []
+    def make():
+        held: dict[bool, list] = {False: [], True: []}
+        known: dict[bool, tuple] = {}
+
+        def take(batch: pa.RecordBatch) -> None:
+            word = batch.column("word").to_numpy(zero_copy_only=False).astype(bool)
+            key, value = batch.column("key").to_numpy(), batch.column("value").to_numpy()
+            for kind in held:
+                held[kind].append((key[word == kind], value[word == kind]))
+
+        def settle() -> None:
+            for kind, taken in held.items():
+                keys, values = (np.concatenate(x) for x in zip(*taken, strict=True)) if taken else (np.zeros(0, np.int64), np.zeros(0))
+                by_key = np.argsort(keys)
+                known[kind] = keys[by_key], values[by_key]
+                taken.clear()
+
+        def look_up(kind: bool, wanted: np.ndarray) -> np.ndarray:
+            keys, values = known[kind]
+            at = np.searchsorted(keys, wanted)
+            if len(wanted) and (not len(keys) or at.max() == len(keys) or (keys[at] != wanted).any()):
+                raise RuntimeError("a part holds a text that it did not ask for; the input changed between two reads")
+            return values[at]
 
         def work(batch: pa.RecordBatch):
-            for body, place, n in zip(*(batch.column(c).to_pylist() for c in ("body", "place", "n")), strict=True):
-                if body is None:
-                    plain.append((place, n))
-                else:
-                    bodies.append(body)
-
-        def finish():
-            if plain:
-                yield {"home": [None] * len(plain), "body": [None] * len(plain), "place": [p for p, _ in plain], "n": [n for _, n in plain]}
-            if not bodies:
+            is_text = pc.is_valid(batch.column("_text"))
+            if answer := batch.num_rows - is_text.true_count:
+                take(batch.slice(0, answer))
+                batch = batch.slice(answer)
+            if not batch.num_rows:
                 return
-            keys, train, h, row, n, base = [], [], [], [], [], 0
-            for body in bodies:
-                docs_, words_ = np.frombuffer(body, "<i8", 2).tolist()
-                at = 16
-                keys.append(np.frombuffer(body, "<i8", docs_, at))
-                at += 8 * docs_
-                train.append(np.frombuffer(body, "i1", docs_, at).astype(bool))
-                at += docs_
-                h.append(np.frombuffer(body, "<i8", words_, at))
-                at += 8 * words_
-                row.append(np.frombuffer(body, "<i4", words_, at) + base)
-                n.append(np.frombuffer(body, "<i4", words_, at + 4 * words_))
-                base += docs_
-            bodies.clear()
-            keys, train, h, row, n = map(np.concatenate, (keys, train, h, row, n))
-            _, at = np.unique(h, return_inverse=True)
-            c = np.bincount(at, n * train[row])
-            known = c[at] > 0
-            s = np.bincount(row, n * np.log10(c[at] + 0.1), len(keys))
-            some = np.bincount(row, n * known, len(keys)).astype(np.int64)
-            own, place = np.unique(keys, return_inverse=True)
-            packed = np.zeros(len(own), _PART)
-            packed["key"], packed["s"], packed["n"] = own, np.bincount(place, s, len(own)), np.bincount(place, some, len(own))
-            home = (mixed(own.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                yield {"home": [b], "body": [packed[order[cuts[b] : cuts[b + 1]]].tobytes()], "place": [None], "n": [None]}
-            yield {"home": [None], "body": [None], "place": [-2], "n": [int((c > 0).sum())]}
-
-        work.finish = finish
-        return work
-
-    return map_chunks(dealt, gather, "home int, body binary, place int, n long", "body", 64 << 20)
-
-
-def summed_parts(parts: DataFrame) -> DataFrame:
-    """``_rare`` (a row key) with its sum ``_s`` and its known words ``_known``."""
-    buckets = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def make():
-        held: list[np.ndarray] = []
-
-        def work(batch: pa.RecordBatch) -> None:
-            held.extend(np.frombuffer(x, _PART) for x in batch.column("body").to_pylist())
-            if len(held) > 64:
-                held[:] = [_added(held)]
-
-        def finish():
-            if held:
-                out = _added(held)
-                yield {"_rare": out["key"], "_s": out["s"], "_known": out["n"]}
+            if not known:
+                settle()
+            text = batch.column("_text")
+            wanted, upto = events(text, order)
+            words = Words(text, LOWER)
+            per = np.diff(words.bounds)
+            row = np.repeat(np.arange(len(per)), per)
+            c = look_up(True, words.hashes().view(np.int64))
+            base = np.bincount(row, np.log10(c + 0.1), len(per)) + math.log10(ends + 0.1) - (per + 1) * share
+            found = np.bincount(row, c > 0, len(per)).astype(np.int64) + (ends > 0)
+            yield {
+                "_id": batch.column("_id"),
+                "held_out": batch.column("_held"),
+                "n_tokens": per + 1,
+                "n_known": found,
+                "train_tokens": np.full(len(per), total),
+                "base_score": base,
+                "score": np.add.reduceat(look_up(False, wanted), upto[:-1]),
+            }
 
-        work.finish = finish
         return work
 
-    bodies = parts.filter("body is not null").select("home", "body").repartition(buckets, "home")
-    return map_chunks(bodies, make, "_rare long, _s double, _known long", "body", 64 << 20)
-
-
-def _added(parts: list[np.ndarray]) -> np.ndarray:
-    every = np.concatenate(parts)
-    keys, at = np.unique(every["key"], return_inverse=True)
-    out = np.zeros(len(keys), _PART)
-    out["key"], out["s"], out["n"] = keys, np.bincount(at, every["s"], len(keys)), np.bincount(at, every["n"], len(keys))
-    return out
-
-
-def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, block: int = BLOCK) -> DataFrame:
-    """Per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    if not 2 <= order <= 6:
-        raise ValueError("an order from 2 to 6 fits a 64-bit event")
-    spark = docs.sparkSession
-    source = docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text"), held_out(id).alias("_held"))
-    keyed = source.withColumn("_key", F.xxhash64("_id", "_text"))
-
-    counts = cut(counted(source.select("_text", "_held"), order))
-    common = counts.filter("common is not null").orderBy(F.desc("n"), "common").limit(COMMON_WORDS).select("common").toArrow()
-    common = np.sort(common.column("common").to_numpy().astype(np.int64))
-    blocks = max(1, -(-counts.filter("event is not null").count() // block))
-    table = event_table(counts.filter("event is not null").select("event", "n"), order).withColumn("_block", F.pmod(F.xxhash64("event"), F.lit(blocks)))
-    table = cut(table)
-
-    parts = cut(base_parts(keyed.select("_key", "_text", "_held"), common))
-    sums = parts.filter("place is not null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # COMMON_WORDS + 2 rows at most
-    sums = dict(zip(*(sums.column(c).to_pylist() for c in ("place", "n")), strict=True))
-    word_counts = np.array([sums.get(i, 0) for i in range(len(common))], np.int64)
-
-    shared_words = spark.sparkContext.broadcast((common, word_counts))
-
-    def one_pass(number: int) -> DataFrame:
-        part = table.filter(F.col("_block") == number).select("event", "lp").toArrow()  # ``block`` rows or so
-        by_key = np.argsort(part.column("event").to_numpy())
-        shared = spark.sparkContext.broadcast(tuple(part.column(c).to_numpy()[by_key] for c in ("event", "lp")))
-        del part, by_key
-
-        def make():
-            keys, values = shared.value
-            often, n_often = shared_words.value
-            logs = np.log10(n_often + 0.1)
-
-            def work(batch: pa.RecordBatch) -> dict:
-                text = batch.column("_text")
-                wanted, upto = events(text, order)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    found = values[at]
-                    if blocks > 1:
-                        found = np.where(keys[at] == wanted, found, 0.0)
-                else:
-                    found = np.zeros(len(wanted))
-                out = {"_id": batch.column("_id"), "_held": batch.column("_held"), "_key": batch.column("_key"), "score": np.add.reduceat(found, upto[:-1]) if len(upto) > 1 else found}
-                n = np.zeros(batch.num_rows, np.int64)
-                s, known = np.zeros(batch.num_rows), n
-                if not number:
-                    words = Words(text, LOWER)
-                    n = np.diff(words.bounds)
-                    if len(often):
-                        row, h = np.repeat(np.arange(len(n)), n), words.hashes().view(np.int64)
-                        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                        mine = often[at] == h
-                        s = np.bincount(row[mine], logs[at[mine]], len(n))
-                        known = np.bincount(row[mine], n_often[at[mine]] > 0, len(n)).astype(np.int64)
-                return out | {"n": n + (number == 0), "s": s, "known": known}
-
-            return work
-
-        kind = keyed.schema["_id"].dataType.simpleString()
-        return map_chunks(keyed, make, f"_id {kind}, _held boolean, _key long, score double, n long, s double, known long", "_text", TEXT_BYTES)
-
-    every = one_pass(0)
-    for number in range(1, blocks):
-        every = every.unionByName(one_pass(number))
-    if blocks > 1:
-        every = every.groupBy("_id", "_held", "_key").agg(*[F.sum(x).alias(x) for x in ("score", "n", "s", "known")], F.count_if(F.col("n") > 0).alias("_rows"))
-        each = F.col("_rows")
-        every = every.withColumns({x: (F.col(x) / each).cast("long") for x in ("n", "known")} | {x: F.col(x) / each for x in ("score", "s")})
-        every = every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), each))).drop("_copy", "_rows")
-    every = cut(every)
-    facts = every.agg(F.coalesce(F.sum(F.when(~F.col("_held"), F.col("n"))), F.lit(0)).alias("n"), F.count_if(~F.col("_held")).alias("ends")).first()
-    distinct = sums.get(-2, 0) + int((word_counts > 0).sum()) + (facts["ends"] > 0)
-    share = math.log10(facts["n"] + 0.1 * (distinct + 1))
-    copies = every.groupBy("_key").agg(F.count("*").alias("_rows"))
-    rare = summed_parts(parts)
-    rare = rare.join(copies, F.col("_rare") == F.col("_key")).select("_rare", (F.col("_s") / F.col("_rows")).alias("_s"), (F.col("_known") / F.col("_rows")).cast("long").alias("_known"))
-    joined = every.join(rare, F.col("_key") == F.col("_rare"), "left")
-    end = math.log10(facts["ends"] + 0.1)
-    base = F.col("s") + F.coalesce("_s", F.lit(0.0)) + F.lit(end) - F.col("n") * F.lit(share)
-    known = F.col("known") + F.coalesce("_known", F.lit(0)) + F.lit(int(facts["ends"] > 0))
-    return joined.select(F.col("_id").alias(id), F.col("_held").alias("held_out"), F.col("n").alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(facts["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    kind = source.schema["_id"].dataType.simpleString()
+    shape = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return map_chunks(every, make, shape, "_text", TEXT_BYTES).withColumnRenamed("_id", id)

@@ -469,8 +469,8 @@ def brute_base(rows):
     return [(h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for ws, h in zip(words, held, strict=True)]
 
 
-@pytest.mark.parametrize("block", [partial_match.BLOCK, 5000])
-def test_partial_match(edge_docs, edge_rows, block):
+@pytest.mark.parametrize("part_bytes, groups", [(partial_match.PART_BYTES, partial_match.GROUPS), (5000, 1), (5000, 300)])
+def test_partial_match(edge_docs, edge_rows, part_bytes, groups):
     trie = partial_match.Trie()
     base = brute_base(edge_rows)
     for (_, t), (held, *_) in zip(edge_rows, base, strict=True):
@@ -478,7 +478,7 @@ def test_partial_match(edge_docs, edge_rows, block):
             trie.train(t or "")
     known = {t: trie.score(t or "") for _, t in edge_rows}
     want = sorted(((i, b[0], b[1], b[2], b[3], round(b[4], 4), round(known[t], 4)) for (i, t), b in zip(edge_rows, base, strict=True)), key=repr)
-    got = partial_match.scores(edge_docs, block=block)
+    got = partial_match.scores(edge_docs, part_bytes=part_bytes, groups=groups)
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got.collect()), key=repr)
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-3)
