@@ -39,8 +39,8 @@ from .shared import checkpoint_folder, cut
 ORDER, END, ALPHABET = 5, 0xFF, 256
 #: Bytes of text in a part, events that a task holds before it passes them on, and groups that all events are cut into at least.
 PART_BYTES, BLOCK, GROUPS = 32 << 20, 4_000_000, 1024
-#: Bytes of text at once: every byte becomes several 64-bit numbers.
-TEXT_BYTES = 2 << 20
+#: Bytes of text at once, for counting and for scoring: every byte becomes several 64-bit numbers.
+TEXT_BYTES, SCORED_BYTES = 2 << 20, 1 << 19
 
 
 class Trie:
@@ -304,10 +304,14 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
 
         def look_up(kind: bool, wanted: np.ndarray) -> np.ndarray:
             keys, values = known[kind]
+            order = np.argsort(wanted)  # in order, neighbours are found in the same cache lines
+            wanted = wanted[order]
             at = np.searchsorted(keys, wanted)
-            if len(wanted) and (not len(keys) or at.max() == len(keys) or (keys[at] != wanted).any()):
+            if len(at) and (at[-1] == len(keys) or (keys[at] != wanted).any()):
                 raise RuntimeError("a part holds a text that it did not ask for; the input changed between two reads")
-            return values[at]
+            out = np.empty(len(order))
+            out[order] = values[at]
+            return out
 
         def work(batch: pa.RecordBatch):
             is_text = pc.is_valid(batch.column("_text"))
@@ -340,4 +344,4 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
 
     kind = source.schema["_id"].dataType.simpleString()
     shape = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return map_chunks(every, make, shape, "_text", TEXT_BYTES).withColumnRenamed("_id", id)
+    return map_chunks(every, make, shape, "_text", SCORED_BYTES).withColumnRenamed("_id", id)
