@@ -484,6 +484,23 @@ def test_partial_match(edge_docs, edge_rows, part_bytes, groups):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-3)
 
 
+def test_partial_match_splits_crowded_contexts(spark):
+    rng = random.Random(11)
+    trie, counts = partial_match.Trie(), collections.Counter()
+    for _ in range(60):
+        text = "ab" * rng.randint(1, 4) + "".join(rng.choice("abcde") for _ in range(40))
+        trie.train(text)
+        counts.update(c + bytes([s]) for c, s in trie.events(text))
+    other = [c + bytes([s]) for c, s in trie.events("abababzq cab" + "abcde" * 9) if c + bytes([s]) not in counts]
+    rows = [(int.from_bytes(e, "big"), n) for e, n in [*counts.items(), *((e, 0) for e in set(other))]]
+    frame = spark.createDataFrame(rows, "event long, n long")
+    want = {e: math.log10(trie.probability(e.to_bytes(6, "big")[:5], e & 255)) for e, _ in rows}
+    assert len(rows) > 1000
+    for groups in 1, 100, 10_000:  # none is crowded, some, nearly all
+        got = {r.event: r.lp for r in partial_match.event_table(frame, groups=groups).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_partial_match_sums_to_one(empty_docs, edge_docs):
     trie = partial_match.Trie(3)
     for t in ("abcabcabd", "xyz", ""):
