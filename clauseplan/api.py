@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import CheckError, ParseError, PlanError, RuleError
-from .lang import modules, rewrite, verify
+from .lang import kinds, modules, rewrite, verify
 from .lang.parser import parse as parse_statements
 from .lang.tree import Directive, Lit, Node, PredRef, Rule
 from .plans.planner import Planner
@@ -35,7 +35,15 @@ def check(source: str, roots: list[str | Path] = (), positional: bool = True) ->
         statements = resolved(source, roots)
     except RuleError as e:
         return [f"{type(e).__name__}: {e}"]
-    return [str(p) for p in verify.problems(statements, positional)]
+    found = verify.problems(statements, positional)
+    if kinds.wanted(statements):
+        found += kinds.Inference(statements).problems
+    return [str(p) for p in found]
+
+
+def types(source: str, roots: list[str | Path] = ()) -> dict[str, dict[str, str]]:
+    """The kind of every column that a program defines, as far as the program alone tells."""
+    return kinds.Inference(resolved(source, roots)).kinds()
 
 
 def _target(d: Directive) -> str:
@@ -57,6 +65,8 @@ class Program:
         if strict and (found := verify.problems(self.statements)):
             raise CheckError(found)
         self.tables = dict(tables or {})
+        if kinds.wanted(self.statements) and (found := self._inferred().problems):
+            raise CheckError(found)
         self.unsafe = unsafe
         rules: dict[str, list[Rule]] = defaultdict(list)
         order: dict[str, list[str]] = {}
@@ -106,6 +116,14 @@ class Program:
         """The defined predicates, in the order of their first rules."""
         return list(self.planner.rules)
 
+    def _inferred(self) -> kinds.Inference:
+        schemas = {n: {f["name"]: kinds.of_schema(f["type"]) for f in t.schema.jsonValue()["fields"]} for n, t in self.tables.items() if isinstance(t, DataFrame)}
+        return kinds.Inference(self.statements, schemas)
+
+    def types(self) -> dict[str, dict[str, str]]:
+        """The kind of every column of the defined predicates, from the program and the tables given as DataFrames."""
+        return self._inferred().kinds()
+
     def load(self, name: str, path: str, kind: str | None = None) -> Program:
         """Make a file the table ``name``."""
         self.tables[name] = self.planner.tables[name] = load.read(self.spark, path, kind)
@@ -132,4 +150,4 @@ class Program:
             raise PlanError(f"{predicate} needs values from a caller, so it can't be run alone")
 
 
-__all__ = ["CheckError", "ParseError", "PlanError", "Program", "RuleError", "check", "parse", "resolved"]
+__all__ = ["CheckError", "ParseError", "PlanError", "Program", "RuleError", "check", "parse", "resolved", "types"]

@@ -9,12 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .api import Program, check, parse
+from .api import Program, check, parse, types
 from .errors import RuleError
 from .sources.introspect import table_rules
 
 
-
 def _session() -> SparkSession:
     spark = SparkSession.builder.appName("rules").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -71,7 +70,7 @@ def repl(spark: SparkSession, source: str = "") -> None:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="clauseplan", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("run", "check", "search", "parse"):
+    for name in ("run", "check", "search", "parse", "types"):
         p = sub.add_parser(name)
         p.add_argument("program")
         p.add_argument("--root", action="append", default=[])
@@ -103,6 +102,10 @@ def main(argv: list[str] | None = None) -> int:
             for statement in parse(source):
                 print(statement)
             return 0
+        if args.command == "types":
+            for name, columns in types(source, roots).items():
+                print(f"{name}({', '.join(f'{k}: {v}' for k, v in columns.items())})")
+            return 0
         found = [] if getattr(args, "no_check", False) else check(source, roots)
         if found or args.command == "check":
             print("\n".join(found) or "no problems")
