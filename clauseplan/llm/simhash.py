@@ -160,20 +160,33 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = 3, most: int = M
 
     def meet(batches):
         held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        crowded = None  # the value whose entries pass straight through, as more than ``most`` are known to meet under it
+
+        def edges(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b)], names=["a", "b"])
 
         def out(keys, own):
             a, b, crowd = meetings(keys, own, radius, most)
-            both = np.concatenate([a, crowd]), np.concatenate([b, crowd])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
+            return edges(np.concatenate([a, crowd]), np.concatenate([b, crowd]))
 
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
-            own = np.concatenate([held, batch.column("fp").to_numpy()])
+            keys, own = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+            if crowded is not None:
+                n = int(np.searchsorted(keys, crowded << 1 | 1, side="right"))
+                if owned:
+                    yield edges(own[:n], own[:n])
+                keys, own = keys[n:], own[n:]
+            keys, own = np.concatenate([held_keys, keys]), np.concatenate([held, own])
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1] >> 1 << 1))  # the last value may go on in the next batch
             yield out(keys[:last], own[:last])
-            held_keys, held = keys[last:], own[last:]
+            held_keys, held, crowded = keys[last:], own[last:], None
+            if len(held) > most:  # a value's own entries come first; without one, its entries have no partner
+                crowded, owned = int(held_keys[0]) >> 1, held_keys[0] & 1 == 0
+                if owned:
+                    yield edges(held, held)
+                held_keys, held = held_keys[:0], held[:0]
         if len(held):
             yield out(held_keys, held)
 

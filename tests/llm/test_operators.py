@@ -252,8 +252,9 @@ def test_simhash(edge_docs, edge_rows, empty_docs, segments, most):
     assert {r.doc_id for r in stay.select("doc_id").collect()} - {None} == set(least.values())
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_simhash_links(spark, most):
+@pytest.mark.parametrize(("most", "batch"), [(4096, 10000), (3, 10000), (3, 2), (40, 16)])
+def test_simhash_links(spark, most, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(4)
     fps = set()
     for _ in range(12):
@@ -265,7 +266,10 @@ def test_simhash_links(spark, most):
     root = brute_groups(fps)
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
     frame = spark.createDataFrame([(signed[f],) for f in fps], "fp long").repartition(4)
-    label = dict(map(tuple, shared.components(simhash.links(frame, most=most)).select("node", "label").collect()))
+    try:
+        label = dict(map(tuple, shared.components(simhash.links(frame, most=most)).select("node", "label").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = collections.defaultdict(set)
     want = collections.defaultdict(set)
     for f in fps:
