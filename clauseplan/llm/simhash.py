@@ -198,6 +198,7 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = 3, most: int = M
     masks = [0, *(sum(1 << b for b in bits) for k in (1, 2) for bits in combinations(range(64), k))]
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
     around = crowd.select("fp", F.explode(F.transform(signed, lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
+    around = around.repartition("centre")  # moved once, for the least and for the join; no centre has over 2081 rows
     least = around.groupBy("centre").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("centre", "b")
     through = around.join(least, "centre").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     return edges.unionByName(through)
