@@ -28,6 +28,11 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def freed(frame: DataFrame) -> None:
+    """Have the driver collect its garbage, as Spark removes the files of a shuffle only once nothing there refers to it."""
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 #: A key is crowded if it has more than this share of what an even deal gives a task.
 CROWDED = 1 / 8
 
