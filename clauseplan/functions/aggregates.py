@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PlanError
 from . import places
@@ -31,10 +32,35 @@ def ordered(pair: Column) -> Column:
     return F.when(F.size(rows) > 0, F.transform(F.array_sort(rows), lambda s: s["value"]))
 
 
-def best(pair: Column, largest: bool) -> Column:
-    """The item of the best score; rows without an item or a score don't count."""
-    score = F.when(pair["arg"].isNotNull(), pair["value"])
-    return F.max_by(pair["arg"], score) if largest else F.min_by(pair["arg"], score)
+def falling(x: Column, kind: T.DataType) -> Column | None:
+    """A column that sorts as ``x`` does backwards, for a value that isn't null; None for kinds that have none."""
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return F.bitwise_not(x)
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return F.struct((~F.isnan(x)).alias("number"), (-x).alias("x"))  # what isn't a number is above all
+    if isinstance(kind, T.DecimalType):
+        return -x
+    if isinstance(kind, T.BooleanType):
+        return ~x
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(x)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(x)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.struct((-F.unix_date(x.cast("date"))).alias("d"), (-F.hour(x)).alias("h"), (-F.minute(x)).alias("m"), (-F.date_part(F.lit("SECOND"), x)).alias("s"))
+    if isinstance(kind, T.StringType | T.BinaryType):  # a text comes before its beginnings
+        return F.concat(F.translate(F.hex(x), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
+    return None
+
+
+def best(pair: Column, largest: bool, kind: T.DataType | None = None) -> Column:
+    """The item of the best score, of several the least (of the largest of a ``kind`` without a reverse order, the
+    greatest); rows without an item or a score don't count."""
+    item, score = pair["arg"], pair["value"]
+    back = falling(score, kind) if largest and kind is not None else None
+    order = F.struct((score if back is None else back).alias("score"), item.alias("item"))
+    order = F.when(item.isNotNull() & score.isNotNull(), order)
+    return (F.max if largest and back is None else F.min)(order)["item"]
 
 
 def best_k(pair: Column, k: Column, largest: bool) -> Column:
@@ -80,8 +106,11 @@ def named(op: str) -> str | None:
     return own if own in AGGREGATES else None
 
 
-def call(op: str, values: list[Column]) -> Column:
+def call(op: str, values: list[Column], kind: T.DataType | None = None) -> Column:
+    """``kind``: that of a pair's ``value``, which ``ArgMax`` asks for."""
     try:
+        if named(op) == "ArgMax" and len(values) == 1:
+            return best(values[0], True, kind)
         return AGGREGATES[named(op)](*values)
     except TypeError as e:
         raise PlanError(f"{op} can't take {len(values)} arguments") from e

@@ -230,7 +230,7 @@ class Planner:
         return out.select(*map(quoted, df.columns))
 
     def grouped(self, df: DataFrame, keys: list[str], ops: dict[str, str]) -> DataFrame:
-        made = [self.aggregated(op, quoted(c)).alias(c) for c, op in ops.items()]
+        made = [self.aggregated(op, quoted(c), df).alias(c) for c, op in ops.items()]
         return df.groupBy(*map(quoted, keys)).agg(*made) if keys else df.agg(*made)
 
     def is_bounded(self, op: str) -> bool:
@@ -618,7 +618,7 @@ class Planner:
         own = self.fresh(target)
         if node.body is not None and not left and inner.df is not None and set(shared) <= inner.bound.keys() and variables(expr) <= inner.bound.keys():
             pre = inner.df.select(*[F.col(inner.bound[v]) for v in shared], self.value(expr, inner).alias("__in"))
-            made = self.aggregated(node.op, F.col("__in")).alias(own)
+            made = self.aggregated(node.op, F.col("__in"), pre).alias(own)
             if not shared:
                 row = pre.agg(made)
                 frame.df = row if frame.df is None else attach_row(frame.df, row)
@@ -635,7 +635,7 @@ class Planner:
             if left or not variables(expr) <= inner.bound.keys():
                 return False
             pre = inner.df.select(*names.values(), self.value(expr, inner).alias("__in"))
-            made = self.aggregated(node.op, F.col("__in")).alias(own)
+            made = self.aggregated(node.op, F.col("__in"), pre).alias(own)
             if shared:
                 groups = pre.groupBy(*names.values()).agg(made)
                 frame.df = frame.df.join(groups, all_of([F.col(frame.bound[v]).eqNullSafe(F.col(names[v])) for v in shared]), "left")
@@ -650,11 +650,14 @@ class Planner:
 
     # -- expressions
 
-    def aggregated(self, op: str, value: Column) -> Column:
+    def aggregated(self, op: str, value: Column, df: DataFrame) -> Column:
+        """The aggregate of a column of ``df``."""
         name, extra = self.built_in(op)
         if name is None:
             raise PlanError(f"there is no aggregate {op}")
-        return aggregates.call(name, [value, *[self.value(x, Frame()) for x in extra]])
+        pair = df.select(value).schema[0].dataType if name == "ArgMax" else None
+        kind = pair["value"].dataType if isinstance(pair, T.StructType) and "value" in pair.names else None
+        return aggregates.call(name, [value, *[self.value(x, Frame()) for x in extra]], kind)
 
     def value(self, node: Node, frame: Frame) -> Column:
         """The column of an expression whose variables are bound."""
