@@ -1,9 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with MinHash bands as candidate search.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles; MinHash bands find what SimHash can't.
 
 A text is the set of its runs of five words (A-Z lower-cased; a shorter text is one run).  Two texts link where their
 sets share four fifths of their union or more, counted in full on 64-bit hashes of the runs; groups are what links reach.
-Candidates agree in all four MinHash values of one of 32 bands: a pair at exactly 0.8 has none with probability
-(1 - 0.8**4)**32, under 1e-7, and closer pairs with less.
+Candidates come first from the SimHash operator: fingerprints of the whole texts that multi-index hashing finds within
+its radius.  Every such pair is then checked by its sets.  Texts at similarity 0.8 differ in about 10 bits of a fingerprint,
+so the pairs beyond the radius are candidates too if they agree in all four MinHash values of one of 32 bands: a pair at
+exactly 0.8 has none with probability (1 - 0.8**4)**32, under 1e-7, and closer pairs with less.
+
+Sets are moved only of documents that are in a candidate pair, and whole documents only if they may go: a table of bits of
+fixed size lets the others pass, and joins decide on the rest.
 
 Equal sets are one node.  Nodes that meet under one band value are compared with the first of them; only those that are
 still apart after that, and only under values that three or more share, are compared with each other, in the task that
@@ -16,12 +21,14 @@ columns beside the two named are never read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .batches import LOWER, Words, map_chunks, mixed, powers, whole_text
-from .shared import components, cut, freed, spread_join
+from .shared import components, marked, marks, settled, spread_join
 from .simhash import _united
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -82,23 +89,30 @@ def _nodes(docs: DataFrame, id: str, text: str) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             node, sizes, keys = _described(batch.column("_text"))
-            return {"_id": batch.column("_id"), "node": node.view(np.int64), "n": sizes, "keys": [k.tobytes() for k in keys]}
+            fps = np.array([simhash.fingerprint(x) for x in batch.column("_text").to_pylist()], np.uint64)
+            return {"_id": batch.column("_id"), "node": node.view(np.int64), "n": sizes, "keys": [k.tobytes() for k in keys], "fp": fps.view(np.int64)}
 
         return work
 
     source = docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text"))
-    return map_chunks(source, make, f"_id {source.schema['_id'].dataType.simpleString()}, node long, n long, keys binary", "_text")
+    return map_chunks(source, make, f"_id {source.schema['_id'].dataType.simpleString()}, node long, n long, keys binary, fp long", "_text")
+
 
+def _sets(docs: DataFrame, id: str, text: str, asked: np.ndarray) -> DataFrame:
+    """The sets of the documents whose ids ``asked`` marks."""
+    table = docs.sparkSession.sparkContext.broadcast(asked)
 
-def _sets(docs: DataFrame, id: str, text: str) -> DataFrame:
     def make():
-        def work(batch: pa.RecordBatch) -> dict:
+        def work(batch: pa.RecordBatch) -> dict | tuple:
+            batch = batch.filter(pa.array(marked(table.value, batch.column("_at").to_numpy())))
+            if not batch.num_rows:
+                return ()
             found, bounds = shingles(batch.column("_text"))
             return {"_id": batch.column("_id"), "_of": _node(found, bounds).view(np.int64), "hashes": [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
         return work
 
-    source = docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text"))
+    source = docs.select(F.col(id).alias("_id"), F.xxhash64(id).alias("_at"), whole_text(text).alias("_text"))
     return map_chunks(source, make, f"_id {source.schema['_id'].dataType.simpleString()}, _of long, hashes binary", "_text")
 
 
@@ -222,7 +236,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa")).hint("merge")
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")).hint("merge")
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
 def _parts(apart: DataFrame, most: int) -> DataFrame:
@@ -236,10 +250,25 @@ def _parts(apart: DataFrame, most: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "n", "label")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes, with sizes, that SimHash links: fingerprints within its radius meet by multi-index
+    hashing, and of equal ones each node is paired with the least."""
+    heads = settled(nodes.groupBy(F.col("fp").alias("_fp")).agg(F.min(F.struct("node", "n")).alias("head")))
+    segments = 3 if heads.count() <= simhash.THREE_SEGMENTS_UPTO else 2
+    links = simhash.links(heads.select(F.col("_fp").alias("fp")), segments=segments)
+    left, right = (heads.select(F.col("_fp").alias(f"_{c}"), F.col("head").alias(f"h{c}")).hint("merge") for c in "ab")
+    across = links.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("ha", "hb")
+    equal = spread_join(nodes.select("node", "n", "fp"), heads.hint("merge"), "fp", "_fp", F.col("node"))
+    equal = equal.select(F.col("head").alias("ha"), F.struct("node", "n").alias("hb")).filter("ha.node != hb.node")
+    every = across.unionByName(equal)
+    return settled(every.select(F.col("ha.node").alias("a"), F.col("hb.node").alias("b"), F.col("ha.n").alias("na"), F.col("hb.n").alias("nb")))
+
+
 def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """``_id`` and ``component_id``, the smallest id that links reach, for every row that has an id."""
-    every = cut(_nodes(docs.filter(F.col(id).isNotNull()), id, text))
-    nodes = cut(every.groupBy("node").agg(F.min("_id").alias("_first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    every = settled(_nodes(docs.filter(F.col(id).isNotNull()), id, text))
+    nodes = settled(every.groupBy("node").agg(F.min("_id").alias("_first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("fp").alias("fp")))
+    near = _by_fingerprint(nodes.filter("n > 0"))
 
     def enter(batches):
         for batch in batches:
@@ -250,21 +279,20 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n"])
 
     entries = nodes.filter("n > 0").select("node", "n", "keys").mapInArrow(enter, "key long, node long, n long")
-    met = cut(_sorted_by_key(entries).mapInArrow(_heads, "key long, a long, b long, na long, nb long, many boolean"))
-    freed(met)
+    met = settled(_sorted_by_key(entries).mapInArrow(_heads, "key long, a long, b long, na long, nb long, many boolean"))
     reps = nodes.select("node", "_first")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.hint("merge"), "node")
-    own = _sets(docs, id, text)
-    sets = cut(wanted.hint("merge").join(own, (F.col("node") == F.col("_of")) & (F.col("_first") == F.col("_id"))).select("node", "hashes").dropDuplicates(["node"]))
-    freed(sets)
-    edges = _linked(met.filter(_fits(F.col("na"), F.col("nb"))).select("a", "b").distinct(), sets)
-    freed(edges)
-    labels = cut(components(edges)).withColumnRenamed("node", "_node")
+    pairs = near.unionByName(met.select("a", "b", "na", "nb")).filter(_fits(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = near.select("a", "b").unionByName(met.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = settled(wanted.join(reps.hint("merge"), "node"))
+    own = _sets(docs, id, text, marks(wanted.select("_first")))
+    sets = settled(wanted.hint("merge").join(own, (F.col("node") == F.col("_of")) & (F.col("_first") == F.col("_id"))).select("node", "hashes").dropDuplicates(["node"]))
+    edges = _linked(pairs, sets)
+    labels = settled(components(edges)).withColumnRenamed("node", "_node")
     apart = met.filter("many").select("key", F.col("b").alias("node"), F.col("nb").alias("n"))
-    apart = cut(apart.join(labels.hint("merge"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    more = cut(_sorted_by_key(_parts(apart, most).join(sets.hint("merge"), "node")).mapInArrow(_by_key(_across), "a long, b long"))
+    apart = settled(apart.join(labels.hint("merge"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    more = settled(_sorted_by_key(_parts(apart, most).join(sets.hint("merge"), "node")).mapInArrow(_by_key(_across), "a long, b long"))
     if not more.isEmpty():
-        labels = cut(components(edges.unionByName(more))).withColumnRenamed("node", "_node")
+        labels = settled(components(edges.unionByName(more))).withColumnRenamed("node", "_node")
     named = reps.join(labels.hint("merge"), F.col("node") == F.col("_node"), "left").select("node", "_first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("_first").alias("component_id"))
     named = named.join(least.hint("merge"), "label").select(F.col("node").alias("_named"), "component_id")
@@ -273,6 +301,13 @@ def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int =
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its group, with all their columns; rows with a null id stay."""
-    gone = grouped(docs, id, text).filter("component_id < _id").select(F.col("_id").alias("_gone")).distinct()
+    gone = settled(grouped(docs, id, text).filter("component_id < _id").select(F.col("_id").alias("_gone")).distinct())
+    table = docs.sparkSession.sparkContext.broadcast(marks(gone))
+
+    @F.pandas_udf("boolean")
+    def may_go(hashes: pd.Series) -> pd.Series:
+        return pd.Series(marked(table.value, hashes.to_numpy()))
+
+    may = may_go(F.xxhash64(F.col(id)))
     gone = gone.alias("_g").hint("merge")  # one plan at every size: how many go has no bound
-    return docs.alias("_d").join(gone, F.col(f"_d.`{id}`") == F.col("_g._gone"), "left_anti")
+    return docs.filter(~may).union(docs.filter(may).alias("_d").join(gone, F.col(f"_d.`{id}`") == F.col("_g._gone"), "left_anti"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,37 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def freed(frame: DataFrame) -> None:
-    """Have the driver collect its garbage, as Spark removes the files of a shuffle only once nothing there refers to it."""
-    frame.sparkSession.sparkContext._jvm.System.gc()
+def settled(frame: DataFrame) -> DataFrame:
+    """As :func:`cut`; what the query has shuffled is removed from disk once its rows are written."""
+    conf = frame.sparkSession.conf
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")  # a frame is planned with what is set when it is made
+    try:
+        return cut(frame.select("*"))
+    finally:
+        conf.set(key, was)
+
+
+#: Bits of a table of marks: 8 MB at every size of the input.
+MARK_BITS = 26
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """A table of bits that holds the key of every row, for :func:`marked`.  Its size is fixed: the more keys, the more others
+    seem marked too, so it spares rows a shuffle, and the join that follows decides."""
+    at = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(1 << MARK_BITS)).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which keys, given by their ``xxhash64``, a table of marks holds, and a share of others."""
+    at = hashes & ((1 << MARK_BITS) - 1)
+    return (table[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
 #: A key is crowded if it has more than this share of what an even deal gives a task.
