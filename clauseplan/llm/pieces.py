@@ -6,8 +6,8 @@ scores imply; byte fallback; the meta space marker.  Where no piece holds the ma
 falls apart at the markers into words that never share a piece, so each distinct word is encoded once per task, in
 multithreaded batches, and remembered up to a bound.  With any other model (one that trims blanks, maps characters, or
 joins words in a piece) whole texts are encoded in batches.  All ids come from the ``tokenizers`` library.  Parity is
-verified on a sample: one in ``one_in`` of the distinct words, or texts, by a hash, is also encoded by the
-``sentencepiece`` library; ``n_checked`` and ``n_differ`` count a document's verified words, or texts, and those that differ.
+verified in full: every distinct word, or text, is also encoded by the ``sentencepiece`` library; ``n_checked`` and
+``n_differ`` count a document's words, or texts, and those that differ (with ``one_in`` above 1, of a sample by a hash).
 
 Defined results: a null text counts as empty and has no tokens; an empty table gives an empty result; repeated rows give
 equal rows; columns beside the two named are never read.  A literal marker character in a text decodes to a blank, as
@@ -36,8 +36,8 @@ WORDS_KEPT = 400_000
 TEXT_BYTES = 1 << 20
 #: New words that are encoded in one batch.
 LEARNED_AT_ONCE = 20_000
-#: One in so many words is encoded by both libraries.
-CHECKED = 16
+#: One in so many words is encoded by both libraries: all of them.
+CHECKED = 1
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
