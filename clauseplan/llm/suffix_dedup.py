@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import joined_bytes, map_chunks, mixed, powers, whole_text
-from .shared import cut
+from .shared import settled
 
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1
@@ -776,9 +776,10 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     every = docs.select(F.col(id).cast("long").alias("_id"), whole_text(text).alias("_text")).withColumn("_sum", F.xxhash64("_text"))
     rows = every.filter("_id is not null").select(F.col("_id").alias("_i"), F.col("_sum").alias("_s"), "_text")
     common = common_anchors(rows)
-    copied = cut(_gathered(copied_blocks(rows), "copied"))
+    copied = settled(_gathered(copied_blocks(rows), "copied"))
     first = rows.join(copied, ["_i", "_s"], "left")
-    repeated = _gathered(shared_anchors(first, common), "repeated")
+    # the texts are moved anew for the last steps, so anchors and segments are never on disk together
+    repeated = settled(_gathered(shared_anchors(first, common), "repeated"))
     second = first.join(repeated, ["_i", "_s"], "left")
     lost = _gathered(shared_windows(second, common), "lost")
     last = rows.join(copied, ["_i", "_s"], "left").join(lost, ["_i", "_s"], "left").select(F.col("_i").alias("_id"), "_text", "copied", "lost")
